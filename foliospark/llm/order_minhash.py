@@ -150,8 +150,10 @@ def candidates(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     w = Window.partitionBy("j", "h", "deal").orderBy("n", "id")
     one = F.struct("id", "n")
-    with_ = F.array(F.col("hub"), *[F.lag(one, k).over(w) for k in range(1, NEIGHBOURS + 1)])
-    pairs = shared.select("id", "n", F.explode(with_).alias("o")).where("o is not null and o.id <> id")
+    before = [F.lag(one, k).over(w).alias(f"o{k}") for k in range(1, NEIGHBOURS + 1)]
+    near = shared.select("id", "n", F.col("hub").alias("o0"), *before)
+    others = F.explode(F.array(*[f"o{k}" for k in range(NEIGHBOURS + 1)])).alias("o")
+    pairs = near.select("id", "n", others).where("o is not null and o.id <> id")
     close = F.least("n", "o.n") >= F.greatest("n", "o.n") * similarity - 1e-6
     return pairs.where(close).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
