@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialise, shuffle_parts
 
 BLOCK = 16_384
@@ -51,6 +52,7 @@ def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def name_sorted(df: DataFrame) -> DataFrame:
     """(row, pos, n, id, sha, key) to (row, pos, n, id, sha, name): equal keys, and only those, have equal names."""
+    ship(df.sparkSession)
     order = ["key", "row", "pos"]
     ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), *order).sortWithinPartitions(*order)
     named = materialise(ranged.mapInPandas(_number, _NAMED))

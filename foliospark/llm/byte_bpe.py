@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..runtime import ship
+
 BATCH = 1 << 22
 MEMO = 1 << 19
 
@@ -148,6 +150,7 @@ def _encoder(shared) -> Encoder:
 
 
 def _broadcast(df: DataFrame, path: str, pattern: str):
+    ship(df.sparkSession)
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast((f.read(), pattern))
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialise
 
 BUCKETS = 1 << 15
@@ -77,6 +78,7 @@ def train(df: DataFrame, text: str, label: str, buckets: int = BUCKETS, smooth:
             (at,) = np.nonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype("int32"), "n": n[at]})
 
+    ship(df.sparkSession)
     labelled = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"))
     total = labelled.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     total = materialise(total)
@@ -95,6 +97,7 @@ def train(df: DataFrame, text: str, label: str, buckets: int = BUCKETS, smooth:
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """The carried columns, lang_pred and score: the winner's share of the probability per n-gram, 0 to 1."""
     langs, logs = model
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast((langs, np.ascontiguousarray(logs.T.astype(np.int32))))
 

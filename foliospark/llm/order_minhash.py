@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialise
 from .shingles import WordHash, components, grams, may_hold, mix
 
@@ -40,23 +41,22 @@ def sketch(h: np.ndarray, k: int = SHINGLE, m: int = SKETCHES) -> np.ndarray:
     if not len(h):
         return np.zeros(0, dtype=np.int64)
     g = grams(h, min(k, len(h)))
-    key = g
+    count = np.zeros(len(g), dtype=np.uint64)  # label occurrences: first, second, ...
     order = np.argsort(g, kind="stable")
     same = np.r_[False, g[order][1:] == g[order][:-1]]
-    if same.any():  # label occurrences: first, second, ...
+    if same.any():
         at = np.arange(len(g))
-        count = np.empty(len(g), dtype=np.uint64)
         count[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
-        key = mix(g + count * np.uint64(0xD1B54A32D192ED03))
-    out = np.empty(m, dtype=np.uint64)
+    key = mix(g + count * np.uint64(0xD1B54A32D192ED03))
+    low, high = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
     for j in range(m):
         v = (key ^ _SEEDS[j]) * np.uint64(0xDA942042E4DD58B5)
         a = b = int(v.argmin())
         if len(v) > 1:
             v[a] = np.uint64(0xFFFFFFFFFFFFFFFF)
             b = int(v.argmin())
-        out[j] = g[min(a, b)] * np.uint64(0x9E3779B97F4A7C15) + (g[max(a, b)] ^ np.uint64(j))
-    return mix(out).view(np.int64)
+        low[j], high[j] = min(a, b), max(a, b)
+    return mix(g[low] * np.uint64(0x9E3779B97F4A7C15) + (g[high] ^ np.arange(m, dtype=np.uint64))).view(np.int64)
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -170,6 +170,7 @@ def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) ->
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size, kept (it is that least id)."""
+    ship(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>"))
     known = rows.where("id is not null and digest is not null")

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialise
 from .shingles import WordHash, grams, may_hold, mix
 
@@ -260,6 +261,7 @@ def repeated_spans(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (null where nothing went), kept_sha256."""
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = materialise(docs.mapInPandas(_anchors, "id long, a long, c1 long, c2 long, n int, start int, n_words long, sha string"))
     spans = materialise(repeated_spans(docs.where("id is not null"), rows.where("a is not null").select("id", *_CONTEXT, "start")).withColumnRenamed("id", "i"))

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialise
 
 BUCKETS = 1 << 20
@@ -95,6 +96,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, st
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, z_least: float = 4.0, l2: float = 1e-4) -> Model:
     """labels: (id, label 0/1) rows to learn from."""
+    ship(df.sparkSession)
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
     n = rows.count()
     part = F.crc32(F.concat(F.lit("sample:"), F.col("i").cast("string")).cast("binary")) < int(min(1.0, sample / max(n, 1)) * 2**32)
@@ -128,6 +130,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(df: DataFrame, model: Model, text: str = "text", carry: tuple[Column, ...] = (), threshold: float = 0.3) -> DataFrame:
     """The carried columns, score (0 to 1, rounded to 9 places) and predicted (1 where score >= threshold)."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
