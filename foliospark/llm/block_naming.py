@@ -107,3 +107,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", block
     return ids.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of df that stay: of equal texts the one with the largest id, once. Rows with a null id all stay."""
+    from .shingles import maybe_in
+
+    out = materialise(exact_dedup(df, id_col, text, block).select(F.col(id_col).alias("i"), "keep_id", "kept", F.col("text_sha256").alias("h")).where("i is not null"))
+    goes = out.where("not kept").select("i")
+    again = out.where("kept").groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i")  # repeated rows
+    test = maybe_in(df, id_col, materialise(goes.unionByName(again).distinct()))
+    some = df.where(test).withColumn("h__", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    stay = out.where("kept").select("i", "h").distinct()
+    held = some.join(stay, (F.col(id_col) == F.col("i")) & (F.col("h__") == F.col("h"))).dropDuplicates(["i", "h"]).select(*df.columns)
+    return df.where(~test).unionByName(held)

@@ -156,9 +156,9 @@ def _broadcast(df: DataFrame, path: str, pattern: str):
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with its text column replaced by ids, array<int>."""
+    """df with its text column replaced by ids, array<int> (a column of that name is replaced too)."""
     shared = _broadcast(df, path, pattern)
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(shared)
@@ -182,6 +182,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with one more column: the bytes that the ids stand for."""
     shared = _broadcast(df, path, pattern)
+    df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _encoder(shared).tokens.__getitem__

@@ -85,17 +85,38 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("low") + F.when((F.col("n") > 0) & (F.col("left") * 2 >= F.col("n")), F.lit(step)).otherwise(F.lit(0))).alias("below"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, copies (times the mix takes the row), taken."""
-    rows = materialise(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), id_hash(F.col(id_col)).alias("hash"))
-    )
-    goal = materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
+def sized(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(doc_id, source, size, hash) of each row."""
+    return df.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), id_hash(F.col(id_col)).alias("hash"))
+
+
+def plan(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(s, source_size, target, whole, below) of each source s, from written rows of ``sized``."""
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = goal.withColumn("whole", whole.cast("long"))
-    below = thresholds(rows, plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
-    plan = plan.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "whole", "below")
-    copies = (F.col("whole") + F.when((F.col("hash") < F.col("below")) & (F.col("whole") < cap), 1).otherwise(0)).cast("long")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+    goal = materialise(goal.withColumn("whole", whole.cast("long")))
+    below = thresholds(rows, goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
+    return materialise(
+        goal.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "whole", "below")
     )
+
+
+def copies(hashed: Column, cap: float = 2.0) -> Column:
+    """Times that the mix takes a row, given its hash and the columns of its source's plan."""
+    return (F.col("whole") + F.when((hashed < F.col("below")) & (F.col("whole") < cap), 1).otherwise(0)).cast("long")
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, copies (times the mix takes the row), taken."""
+    rows = materialise(sized(df, id_col, source, text))
+    joined = rows.join(plan(rows, weights, share, cap), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(F.col("hash"), cap))
+    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: df's rows, each as often as the mix takes it. Only plans are joined, texts are not shuffled."""
+    goal = plan(materialise(sized(df, id_col, source, text)), weights, share, cap)
+    given = F.struct(*[F.col(c) for c in df.columns]).alias("given")
+    rows = df.select(given, F.col(source).alias("s_"), id_hash(F.col(id_col)).alias("hash_"))
+    times = rows.join(goal, F.col("s_").eqNullSafe(F.col("s"))).select("given", copies(F.col("hash_"), cap).alias("times")).where("times > 0")
+    return times.select("given", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")).select("given.*")

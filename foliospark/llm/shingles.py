@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -44,12 +46,25 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def may_hold(df: DataFrame, id_col: str, ids: DataFrame, bits_per_id: int = 12, most_bits: int = 1 << 26) -> DataFrame:
-    """df without most rows whose id is not in ids (one column); never drops a row whose id is.
+def may_hold(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df without most rows whose id is not in ids (one column); never drops a row whose id is."""
+    return df.where(maybe_in(df, id_col, ids))
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """df without the rows whose id is in ids; rows with a null id stay. Few others are shuffled."""
+    test = maybe_in(df, id_col, ids)
+    rest = df.where(test).join(ids.select(F.col(ids.columns[0]).alias("gone__")).distinct(), F.col(id_col) == F.col("gone__"), "left_anti")
+    return df.where(~test).unionByName(rest)
+
+
+def maybe_in(df: DataFrame, id_col: str, ids: DataFrame, bits_per_id: int = 12, most_bits: int = 1 << 26) -> Column:
+    """False only for ids that are not in ids.
 
     A Bloom filter of at most ``most_bits``: beyond that it fills up, lets more rows pass and stays right. It saves
     shuffling whole texts to a join that keeps few of them.
     """
+    ship(df.sparkSession)
     n = max(1 << 10, ids.count() * bits_per_id)
     bits = min(most_bits, 1 << (n - 1).bit_length())
 
@@ -78,7 +93,7 @@ def may_hold(df: DataFrame, id_col: str, ids: DataFrame, bits_per_id: int = 12,
             ok &= (some[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
         return pd.Series(ok & x.notna().to_numpy())
 
-    return df.where(test(F.col(id_col)))
+    return test(F.col(id_col))
 
 
 def components(edges: DataFrame) -> DataFrame:
