@@ -1,13 +1,14 @@
-"""Makes the package importable on executors, wherever the driver has it from."""
+"""What a run needs from its cluster: the package on executors, and tables in a folder that all can see."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +22,34 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     shutil.copytree(package, f"{folder}/tree/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}-src", "zip", f"{folder}/tree"))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not hasattr(scratch_dir, "own"):
+        scratch_dir.own = tempfile.TemporaryDirectory(prefix="foliospark-")
+        atexit.register(scratch_dir.own.cleanup)
+    return f"file://{scratch_dir.own.name}"
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; it goes when the driver's JVM ends."""
+    path = f"{scratch_dir(spark)}/foliospark-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage once, and survives a lost executor.
+
+    Unlike checkpoint(), a narrow plan runs once.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
