@@ -1,7 +1,8 @@
 """Stage 6: fuzzy duplicates within a page, dropped by priority in order.
 
-Candidate pairs are boxes of one page that overlap enough and whose text lengths allow the similarity; only those reach
-the Python similarity, in Arrow batches. The order-dependent choice is a native fold over integers, per page.
+A page's blocks are gathered once, as an ordered list (a page is a bounded thing). Candidate pairs are boxes that overlap
+enough and whose text lengths allow the similarity; only their texts reach the Python similarity, in Arrow batches. The
+order-dependent choice is a native fold over integers.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff/Obershelp ratio of the lower-cased texts; not symmetric: a is the later block, b the earlier one."""
-    return pd.Series([_ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)], dtype=float)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def similarities(later: pd.Series, earlier: pd.Series) -> pd.Series:
+    """Ratcliff/Obershelp ratios of lower-cased texts, list by list; not symmetric: the later block's text comes first."""
+    return pd.Series([[1.0 if x == y else _ratio(x.lower(), y.lower()) for x, y in zip(a, b, strict=True)] for a, b in zip(later, earlier, strict=True)])
+
+
+#: So that the optimiser neither repeats it nor moves it into a lambda, where Python can't run.
+similarities = similarities.asNondeterministic()
 
 
 def may_be_similar(a: Column, b: Column, threshold: float) -> Column:
@@ -40,24 +45,49 @@ def ordered(blocks: DataFrame, order: tuple[str, ...] = ("stage_ord", "seq")) ->
     return blocks.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order)) - 1)
 
 
-def overlapping_pairs(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """(doc_id, page_number, later, earlier, iou, texts) of pairs worth comparing; blocks have ord."""
-    a = blocks.select(*PAGE, F.col("ord").alias("later"), F.col("bbox").alias("later_box"), F.col("text").alias("later_text"))
-    b = blocks.select(*PAGE, F.col("ord").alias("earlier"), F.col("bbox").alias("earlier_box"), F.col("text").alias("earlier_text"))
-    pairs = a.join(b, list(PAGE)).where(
-        (F.col("later") > F.col("earlier")) & G.overlaps(F.col("later_box"), F.col("earlier_box"), cfg.overlap_threshold)
-    )
-    return pairs.withColumn("iou", G.iou(F.col("later_box"), F.col("earlier_box"))).drop("later_box", "earlier_box")
+def page_lists(blocks: DataFrame, order: tuple[str, ...] = ("stage_ord", "seq")) -> DataFrame:
+    """(doc_id, page_number, b): a page's blocks as one ordered list of structs. The only shuffle that merging needs."""
+    rest = [c for c in blocks.columns if c not in PAGE]
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("block"))
+    listed = blocks.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("b"))
+    return listed.select(*PAGE, F.col("b.block").alias("b"))
+
+
+def near_pairs(b: Column, cfg: PipelineConfig, similar: bool) -> Column:
+    """array<struct<later, earlier, iou, a, b>> of a page's pairs that overlap (and, if asked, may be similar)."""
+
+    def earlier_of(x: Column, i: Column) -> Column:
+        def keep(p: Column) -> Column:
+            ok = G.overlaps(x["bbox"], p["block"]["bbox"], cfg.overlap_threshold)
+            return ok & may_be_similar(x["text"], p["block"]["text"], cfg.similarity_threshold) if similar else ok
+
+        before = F.transform(F.slice(b, F.lit(1), i), lambda y, j: F.struct(j.alias("j"), y.alias("block")))
+        return F.transform(
+            F.filter(before, keep),
+            lambda p: F.struct(i.alias("later"), p["j"].alias("earlier"), G.iou(x["bbox"], p["block"]["bbox"]).alias("iou"), x["text"].alias("a"), p["block"]["text"].alias("b")),
+        )
+
+    return F.flatten(F.transform(b, earlier_of))
 
 
-def similar_pairs(pairs: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
-    """Pairs with their similarity, above the threshold. Equal texts need no Python."""
-    ship(pairs.sparkSession)
-    near = pairs.where(may_be_similar(F.col("later_text"), F.col("earlier_text"), cfg.similarity_threshold))
-    equal = F.col("later_text") == F.col("earlier_text")
-    same = near.where(equal).withColumn("similarity", F.lit(1.0))
-    other = near.where(~equal).withColumn("similarity", similarity("later_text", "earlier_text"))
-    return same.unionByName(other).where(F.col("similarity") > cfg.similarity_threshold)
+def overlapping_pairs(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig(), order: tuple[str, ...] = ("stage_ord", "seq")) -> DataFrame:
+    """(doc_id, page_number, later, earlier, iou) of pairs whose boxes overlap."""
+    pairs = page_lists(blocks, order).select(*PAGE, F.explode(near_pairs(F.col("b"), cfg, similar=False)).alias("p"))
+    return pairs.select(*PAGE, "p.later", "p.earlier", "p.iou")
+
+
+def page_edges(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig(), order: tuple[str, ...] = ("stage_ord", "seq")) -> DataFrame:
+    """(doc_id, page_number, b, edges): the list and its similar pairs, array<struct<later, earlier, similarity>>."""
+    ship(blocks.sparkSession)
+    near = page_lists(blocks, order).withColumn("near", near_pairs(F.col("b"), cfg, similar=True))
+    scored = near.withColumn("ratio", similarities(F.col("near.a"), F.col("near.b")))
+    edges = F.zip_with("near", "ratio", lambda n, r: F.struct(n["later"].alias("later"), n["earlier"].alias("earlier"), r.alias("similarity")))
+    return scored.select(*PAGE, "b", F.filter(edges, lambda e: e["similarity"] > cfg.similarity_threshold).alias("edges"))
+
+
+def similar_pairs(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
+    """(doc_id, page_number, later, earlier, similarity) of pairs that overlap and are similar."""
+    return page_edges(blocks, cfg).select(*PAGE, F.explode("edges").alias("e")).select(*PAGE, "e.*")
 
 
 def priority(stage: Column) -> Column:
@@ -88,17 +118,9 @@ def fold(members: Column, edges: Column) -> Column:
 
 
 def deduplicate(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig(), order: tuple[str, ...] = ("stage_ord", "seq")) -> tuple[DataFrame, DataFrame]:
-    """Blocks that stay, with their place in the output (out_seq), and counters per page.
-
-    Pages without any similar pair skip the fold's edge list; all share one partitioning by page.
-    """
-    listed = ordered(blocks, order)
-    edges = similar_pairs(overlapping_pairs(listed, cfg), cfg)
-    grouped = edges.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("later", "earlier"))).alias("edges"))
-    member = F.struct("ord", priority(F.col("source_stage")).alias("prio"))
-    pages = listed.groupBy(*PAGE).agg(F.sort_array(F.collect_list(member)).alias("members"))
-    none = F.array().cast("array<struct<later:int,earlier:int>>")
-    solved = pages.join(grouped, list(PAGE), "left").select(*PAGE, F.size("members").alias("n"), fold(F.col("members"), F.coalesce("edges", none)).alias("s"))
-    kept = solved.select(*PAGE, F.posexplode("s.kept").alias("out_seq", "k")).select(*PAGE, "out_seq", F.col("k.ord").alias("ord"))
-    counters = solved.select(*PAGE, F.col("n").alias("total_input_blocks"), F.col("s.removed").alias("duplicates_removed"), F.col("s.merged").alias("blocks_merged"))
-    return listed.join(kept, [*PAGE, "ord"]).drop("ord"), counters
+    """Blocks that stay, with their place in the output (out_seq), and counters per page: one shuffle, by page."""
+    members = F.transform("b", lambda x, i: F.struct(i.alias("ord"), priority(x["source_stage"]).alias("prio")))
+    solved = page_edges(blocks, cfg, order).withColumn("members", members).select(*PAGE, "b", fold(F.col("members"), F.col("edges")).alias("s"))
+    kept = solved.select(*PAGE, F.posexplode(F.transform("s.kept", lambda k: F.get("b", k["ord"]))).alias("out_seq", "k")).select(*PAGE, "out_seq", "k.*")
+    counters = solved.select(*PAGE, F.size("b").alias("total_input_blocks"), F.col("s.removed").alias("duplicates_removed"), F.col("s.merged").alias("blocks_merged"))
+    return kept, counters

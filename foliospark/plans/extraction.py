@@ -1,4 +1,4 @@
-"""Whole runs: source tables in, block, image, page, document and metric tables out. Nothing is computed until asked."""
+"""Whole runs: source tables in, block, image, page, document and metric tables out. """
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from ..operators import cleaning, merge, rollups, stages
 from ..operators.stages import PAGE, Ocr
+from ..runtime import materialise
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,13 @@ class Results:
 
 
 def run(pages: DataFrame, engines: Engines, raw_images: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig(), image_folder: str | None = None) -> Results:
-    """The seven stages. A stage that the mode leaves out is not in the plan."""
+    """The seven stages. A stage that the mode leaves out is not in the plan.
+
+    Direct blocks, the blocks of all stages, and cleaned blocks are written once: later steps read them several times,
+    and no region is read by OCR twice.
+    """
     on = cfg.stages
-    direct = stages.direct(pages)
+    direct = materialise(stages.direct(pages))
     found = [direct]
     stats = stages.page_stats(pages, direct)
     if on.block_ocr:
@@ -45,11 +50,11 @@ def run(pages: DataFrame, engines: Engines, raw_images: DataFrame | None = None,
         found.append(stages.grid_ocr(stages.sparse_cells(pages, stages.union_stages(*found), cfg), engines.cell))
     images = None
     if on.image_ocr and raw_images is not None:
-        images = stages.images(raw_images, engines.image, image_folder)
+        images = materialise(stages.images(raw_images, engines.image, image_folder))
         found.append(stages.image_ocr(images))
-    every = stages.union_stages(*found)
+    every = materialise(stages.union_stages(*found))
     kept, merged = merge.deduplicate(every, cfg)
-    cleaned = cleaning.post_process(kept, cfg)
+    cleaned = materialise(cleaning.post_process(kept, cfg))
     columns = cleaning.page_columns(pages, cleaned)
     blocks = cleaning.assign_columns(pages, cleaned, columns)
     page_rows = rollups.page_summary(pages, blocks, images).join(columns, list(PAGE))

@@ -112,13 +112,12 @@ def _shifted(spark, sf):
 
 
 def iou_pairs(spark, sf):
-    pairs = merge.overlapping_pairs(merge.ordered(_shifted(spark, sf)))
+    pairs = merge.overlapping_pairs(_shifted(spark, sf))
     return pairs.select(*PAGE, "later", "earlier", F.round("iou", 9).alias("iou"))
 
 
 def similarity_pairs(spark, sf):
-    pairs = merge.overlapping_pairs(merge.ordered(_shifted(spark, sf)))
-    return merge.similar_pairs(pairs).select(*PAGE, "later", "earlier", F.round("similarity", 9).alias("similarity"))
+    return merge.similar_pairs(_shifted(spark, sf)).select(*PAGE, "later", "earlier", F.round("similarity", 9).alias("similarity"))
 
 
 def _with_copies(spark, sf):

@@ -31,9 +31,9 @@ def nested(documents: DataFrame, pages: DataFrame, blocks: DataFrame, images: Da
     )
     block = F.struct("block_id", box("bbox"), "text", "confidence", "source_stage", "font", "size", "direction", "rtl_ratio", F.col("word_count").cast("int").alias("word_count"), "column")
     image = F.struct("image_id", box("bbox"), "image_path", "ocr_text", "confidence", "format")
-    in_order = lambda c: F.transform(F.sort_array(c), lambda x: x["b"])
-    b = blocks.groupBy(*PAGE).agg(in_order(F.collect_list(F.struct("out_seq", block.alias("b")))).alias("blocks"))
-    i = images.groupBy(*PAGE).agg(in_order(F.collect_list(F.struct("img_index", image.alias("b")))).alias("images"))
+    in_order = lambda c, by: F.transform(F.array_sort(c, lambda x, y: F.signum(x[by] - y[by]).cast("int")), lambda x: x["b"])
+    b = blocks.groupBy(*PAGE).agg(in_order(F.collect_list(F.struct("out_seq", block.alias("b"))), "out_seq").alias("blocks"))
+    i = images.groupBy(*PAGE).agg(in_order(F.collect_list(F.struct("img_index", image.alias("b"))), "img_index").alias("images"))
     full = pages.join(counts(*PAGE), list(PAGE), "left").join(b, list(PAGE), "left").join(i, list(PAGE), "left")
     none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like.schema[c].dataType))
     page = F.struct(
@@ -45,7 +45,7 @@ def nested(documents: DataFrame, pages: DataFrame, blocks: DataFrame, images: Da
         "filename", "total_pages", "total_blocks", "total_images", "avg_confidence", "total_execution_time",
         F.coalesce("stage_stats", F.create_map().cast("map<string,bigint>")).alias("stage_stats"), "metadata",
     )
-    pages_ = full.groupBy("doc_id").agg(in_order(F.collect_list(F.struct("page_number", page.alias("b")))).alias("pages"))
+    pages_ = full.groupBy("doc_id").agg(in_order(F.collect_list(F.struct("page_number", page.alias("b"))), "page_number").alias("pages"))
     return docs.select("doc_id", head.alias("document")).join(pages_, "doc_id", "left")
 
 
