@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
 
@@ -99,7 +100,8 @@ def read_regions(df: DataFrame, factory, kind: str, dpi: int, out: str = "ocr_te
                     errors.append(str(e))
             yield pdf.assign(**{out: texts, "ocr_error": errors})
 
-    return df.mapInPandas(run, df.schema.add(out, "string").add("ocr_error", "string"))
+    added = [T.StructField(out, T.StringType()), T.StructField("ocr_error", T.StringType())]
+    return df.mapInPandas(run, T.StructType(df.schema.fields + added))
 
 
 def fixture_text(text: Column, seq: Column) -> Column:

@@ -34,7 +34,7 @@ def test_iou(spark):
         assert any_ == (not apart)
 
 
-@pytest.mark.parametrize("x, width, n, column", [(100, 300, 3, 1), (250, 300, 3, 3), (300, 300, 3, 3), (-50, 300, 3, 1), (-150, 300, 3, 0), (50, 0, 1, 1), (50, 0, 2, None)])
+@pytest.mark.parametrize("x, width, n, column", [(99, 300, 3, 1), (100, 300, 3, 2), (250, 300, 3, 3), (300, 300, 3, 3), (-50, 300, 3, 1), (-150, 300, 3, 0), (50, 0, 1, 1), (50, 0, 2, None)])
 def test_columns(spark, x, width, n, column):
     got = rows_of(spark, [((float(x),) * 4, (0.0,) * 4)], G.assign_column(F.col("a"), F.lit(float(width)), F.lit(n)))[0][0]
     assert got == (column if column is not None else n)
