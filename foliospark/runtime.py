@@ -11,8 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once per application, for functions that run in Python there."""
+    """Send the package's sources to the executors, once per application, for functions that run in Python there.
+
+    Also bounds the bytes of an Arrow batch, unless the session does: 10,000 long texts are much for one worker.
+    """
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH_BYTES, "8m")
     app = spark.sparkContext.applicationId
     if getattr(ship, "app", None) == app:
         return
@@ -51,5 +59,5 @@ def materialise(df: DataFrame) -> DataFrame:
     Unlike checkpoint(), a narrow plan runs once.
     """
     path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
