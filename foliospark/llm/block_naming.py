@@ -4,9 +4,9 @@ A text is cut into blocks of a fixed number of code points. All blocks are sorte
 then adjacent pairs of names are sorted and named in the same way, level by level, until every text has one name. Names
 are given by comparing the blocks themselves, so two texts have one name only if they are identical: nothing is hashed.
 
-Sorting is Spark's range partitioning with the row as tie-breaker, so a block that a third of all rows share is spread
-over many partitions; a partition numbers its blocks while it streams them, and only its first and last block go to the
-driver, to join names over partition borders (two blocks a partition, whatever the input).
+Blocks are sorted by a hash and then by themselves, with the row as tie-breaker, so range partitioning samples short keys
+and spreads a block that a third of all rows share over many partitions. A partition numbers its blocks while it streams
+them; the driver joins names over the borders at which a hash goes on, and reads only the blocks at those borders.
 
 Defined results: null text is an empty text. Each input row counts on its own, repeated rows too. Of equal texts the row
 with the largest id stays (null ids lose; rows that repeat the largest id all say kept). An empty table gives an empty
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,52 +26,64 @@ from ..runtime import ship
 from .common import materialise, shuffle_parts
 
 BLOCK = 16_384
-_NAMED = "row long, pos long, n long, id string, sha string, part int, name long, edge string"
+_NAMED = "row long, pos long, n long, id string, sha string, part int, name long, h long, edge string, key string"
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows of one partition: a number for each distinct key, and two more rows with the first and last key."""
+    """Sorted rows of one partition: a number for each distinct key, and rows with the keys of the first and last hash."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    last, number = None, -1
-    empty = {"row": None, "pos": None, "n": None, "id": None, "sha": None}
+    hash_, key_, number = None, None, -1
+    first: list[tuple] = []
+    last: list[tuple] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        key = pdf["key"].to_numpy(dtype=object)
-        new = key != pd.Series(key).shift(1).to_numpy(dtype=object)
-        new[0] = key[0] != last
-        if last is None:
-            yield pd.DataFrame([empty | {"part": part, "name": 0, "edge": key[0]}])
-        names = number + new.astype("int64").cumsum()
-        last, number = key[-1], int(names[-1])
-        yield pdf[["row", "pos", "n", "id", "sha"]].assign(part=part, name=names, edge=None)
-    if last is not None:
-        yield pd.DataFrame([empty | {"part": part, "name": number, "edge": last}])
+        h, key = pdf["h"].to_numpy(), pdf["key"].to_numpy(dtype=object)
+        new = np.r_[h[0] != hash_ or key[0] != key_, (h[1:] != h[:-1]) | (key[1:] != key[:-1])]
+        names = number + np.cumsum(new)
+        begin = h[0] if hash_ is None else first[0][0]
+        first += [(x, k, int(n)) for x, k, n in zip(h[new & (h == begin)], key[new & (h == begin)], names[new & (h == begin)], strict=True)]
+        at = new & (h == h[-1])
+        last = last * (h[-1] == hash_) + [(x, k, int(n)) for x, k, n in zip(h[at], key[at], names[at], strict=True)]
+        hash_, key_, number = h[-1], key[-1], int(names[-1])
+        yield pdf[["row", "pos", "n", "id", "sha"]].assign(part=part, name=names, h=None, edge=None, key=None)
+    for edge, keys in (("first", first), ("last", last)):
+        yield pd.DataFrame([(None, None, None, None, None, part, n, x, edge, k) for x, k, n in keys], columns=_COLUMNS)
+
+
+_COLUMNS = [c.split(" ")[0] for c in _NAMED.split(", ")]
 
 
 def name_sorted(df: DataFrame) -> DataFrame:
     """(row, pos, n, id, sha, key) to (row, pos, n, id, sha, name): equal keys, and only those, have equal names."""
     ship(df.sparkSession)
-    order = ["key", "row", "pos"]
-    ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), *order).sortWithinPartitions(*order)
+    df = df.withColumn("h", F.xxhash64("key"))
+    ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), "h", "row", "pos").sortWithinPartitions("h", "key", "row", "pos")
     named = materialise(ranged.mapInPandas(_number, _NAMED))
-    edges: dict[int, list] = {}
-    for e in sorted(named.where("edge is not null").select("part", "name", "edge").collect(), key=lambda e: (e["part"], e["name"])):
-        edges.setdefault(e["part"], []).append(e)
-    last, goes = None, {}
-    for part, ends in edges.items():
-        if last is not None and ends[0]["edge"] == last[0]:
-            goes[part] = last[1]
-        name = (part << 40) + ends[-1]["name"]
-        last = (ends[-1]["edge"], goes[part] if ends[-1]["name"] == 0 and part in goes else name)
+    edges = named.where("edge is not null")
+    ends = {(e["part"], e["edge"]): e["h"] for e in edges.select("part", "edge", "h").distinct().collect()}  # two a partition
+    parts = sorted({p for p, _ in ends})
+    crossed = [(p, q) for p, q in zip(parts, parts[1:]) if ends[p, "last"] == ends[q, "first"]]
+    near = sorted({p for pair in crossed for p in pair})
+    keys: dict[tuple, list] = {}
+    for e in edges.where(F.col("part").isin(near)).collect() if near else []:
+        keys.setdefault((e["part"], e["edge"]), []).append((e["key"], e["name"]))
+    goes: dict[tuple[int, int], int] = {}
+    carried: dict[int, dict] = {}
+    for p, q in crossed:
+        known = {k: goes.get((p, n), (p << 40) + n) for k, n in keys[p, "last"]}
+        if ends[p, "first"] == ends[p, "last"] and p in carried:
+            known = carried[p] | known
+        carried = {q: known}
+        goes |= {(q, n): known[k] for k, n in keys[q, "first"] if k in known}
     name = F.shiftleft(F.col("part").cast("long"), 40) + F.col("name")
     rows = named.where("edge is null")
     if goes:
-        borders = df.sparkSession.createDataFrame(list(goes.items()), "p int, goes long")  # a row a partition at most
-        rows = rows.join(F.broadcast(borders), F.col("part") == F.col("p"), "left")
-        name = F.when((F.col("name") == 0) & F.col("goes").isNotNull(), F.col("goes")).otherwise(name)
+        borders = df.sparkSession.createDataFrame([(p, n, to) for (p, n), to in goes.items()], "p int, at long, goes long")
+        rows = rows.join(F.broadcast(borders), (F.col("part") == F.col("p")) & (F.col("name") == F.col("at")), "left")  # borders only
+        name = F.coalesce("goes", name)
     return rows.select("row", "pos", "n", "id", "sha", name.alias("name"))
 
 
