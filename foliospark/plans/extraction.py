@@ -83,3 +83,21 @@ def fixture_engines() -> Engines:
         cell=lambda df: df.withColumn("ocr_text", F.when(F.col("cell") % 2 == 0, F.format_string("cell %d", "cell")).otherwise("")),
         image=lambda df: df.withColumn("ocr_text", F.when(F.col("img_index") == 0, F.lit("words in an image")).otherwise("")),
     )
+
+
+def ocr_engines(cfg: PipelineConfig = PipelineConfig()) -> Engines:
+    """Real engines by the config's name; a row's doc_id must be a path that workers can open."""
+    from ..operators.ocr import make_engine, read_regions
+
+    name, lang, languages = cfg.ocr_engine, cfg.lang, cfg.engine_languages
+
+    def reader(kind: str) -> Ocr:
+        return lambda df: read_regions(df.withColumn("path", F.col("doc_id").cast("string")), lambda: make_engine(name, lang, languages), kind, cfg.dpi).drop("path")
+
+    return Engines(block=reader("region"), page=reader("page"), cell=reader("region"), image=reader("image"))
+
+
+def no_engines() -> Engines:
+    """For runs without OCR: nothing is recognised."""
+    nothing: Ocr = lambda df: df.withColumn("ocr_text", F.lit(""))
+    return Engines(nothing, nothing, nothing, nothing)

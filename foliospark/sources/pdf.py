@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schema import RAW_PAGES
+from ..schema import RAW_IMAGES, RAW_PAGES
 
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -225,3 +225,47 @@ def pages_of(files):
                 yield pd.DataFrame(shaped, columns=RAW_PAGES.names)
 
     return files.select("path", "content").mapInPandas(run, RAW_PAGES)
+
+
+def images_of(files):
+    """RAW_IMAGES of (path, content) rows; the place of an image is not read, so it is null."""
+    from ..runtime import ship
+
+    ship(files.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(*r[:5], None, r[5]) for r in image_rows(path, content)]
+                except (ValueError, zlib.error):
+                    continue
+            if rows:
+                yield pd.DataFrame(rows, columns=RAW_IMAGES.names)
+
+    return files.select("path", "content").mapInPandas(run, RAW_IMAGES)
+
+
+def info_of(files):
+    """(doc_id, total_pages, metadata, error) of (path, content) rows; a file that can't be read has an error."""
+    from ..runtime import ship
+
+    ship(files.sparkSession)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    one = Pdf(content)
+                    rows.append((path, len(one.pages()), one.info(), None))
+                except (ValueError, zlib.error) as e:
+                    rows.append((path, 0, {}, str(e)))
+            yield pd.DataFrame(rows, columns=["doc_id", "total_pages", "metadata", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "doc_id string, total_pages int, metadata map<string,string>, error string")

@@ -160,3 +160,31 @@ def test_modes():
 def test_output_names(spark):
     df = spark.createDataFrame([("a.b.pdf",), ("none",), (".x",)], "n string")
     assert [r[0] for r in df.select(sink.output_name(F.col("n"), "_o")).collect()] == ["a.b_o", "none_o", ".x_o"]
+
+
+@pytest.mark.parametrize("way", ["seven", "structured", "hybrid"])
+def test_cli(spark, tmp_path, way):
+    from foliospark import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(make_pdf(["these are some words of a page that is read", "two"]))
+    (tmp_path / "in" / "bad.pdf").write_bytes(b"no pdf")
+    cli.main([str(tmp_path / "in"), str(tmp_path / "out"), "--way", way, "--mode", "fast"])
+    if way == "seven":
+        d = files.read_documents(spark, str(tmp_path / "out")).first()["document"]
+        assert (d["filename"], d["total_pages"], d["total_blocks"], d["metadata"]["producer"]) == ("a.pdf", 2, 2, "by hand")
+    elif way == "structured":
+        assert [r["text"] for r in spark.read.json(str(tmp_path / "out")).orderBy("page_number").collect()] == ["these are some words of a page that is read", "two"]
+    else:
+        assert "Page 2" in "".join(r["value"] + "\n" for r in spark.read.text(str(tmp_path / "out")).collect())
+
+
+def test_info_and_images(spark):
+    image = b"%PDF-1.4\n1 0 obj\n<< /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Kids [3 0 R] >>\nendobj\n3 0 obj\n<< /Resources << /XObject << /I 4 0 R >> >> >>\nendobj\n4 0 obj\n<< /Subtype /Image /Filter /DCTDecode >>\nstream\nJPEG\nendstream\nendobj\ntrailer << /Root 1 0 R >>"
+    df = spark.createDataFrame([("a", bytearray(image)), ("b", bytearray(b"x"))], "path string, content binary")
+    (row,) = pdf.images_of(df).collect()
+    assert (row["page_number"], row["img_index"], row["xref"], row["format"], bytes(row["bytes"]), row["bbox"]) == (1, 0, 4, "jpeg", b"JPEG", None)
+    info = {r["doc_id"]: r for r in pdf.info_of(df).collect()}
+    assert info["a"]["total_pages"] == 1 and info["a"]["error"] is None and info["b"]["error"] == "not a PDF"
+    found = stages.images(pdf.images_of(df), extraction.no_engines().image).first()
+    assert tuple(found["bbox"]) == (0.0, 0.0, 100.0, 100.0) and found["confidence"] == 0.0
