@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialise  # noqa: F401
+
 #: Words are maximal runs of characters other than space, \t, \n, \v, \f and \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -36,33 +34,6 @@ def literal_rows(spark: SparkSession, names: tuple[str, ...], rows: list[tuple])
     return spark.range(1).select(F.inline(F.array(*each)))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not hasattr(scratch_dir, "own"):
-        scratch_dir.own = tempfile.TemporaryDirectory(prefix="foliospark-")
-        atexit.register(scratch_dir.own.cleanup)
-    return f"file://{scratch_dir.own.name}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage once, and survives a lost executor.
-
-    Unlike checkpoint(), a narrow plan runs once. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/foliospark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

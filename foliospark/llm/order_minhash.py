@@ -111,19 +111,20 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
+    def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for i, t in zip(pdf["id"], pdf["text"], strict=True):
+            found = text_words(t)  # of one text at a time: a batch of words would be many times its text
+            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, sketch(hashes.of(found))
+
     hashes = WordHash()
     for pdf in batches:
-        found = [text_words(t) for t in pdf["text"]]
-        yield pd.DataFrame({
-            "id": pdf["id"], "n": [len(w) for w in found], "digest": [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in found],
-            "sketch": [sketch(hashes.of(w)) for w in found],
-        })
+        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch"])
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHash()
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "vec": [hashes.of(text_words(t)).astype(np.uint32).view(np.int32) for t in pdf["text"]]})
+        yield pd.DataFrame(((i, hashes.of(text_words(t)).astype(np.uint32).view(np.int32)) for i, t in zip(pdf["id"], pdf["text"], strict=True)), columns=["id", "vec"])
 
 
 def _aligned(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class WordHash(dict):
     """64-bit hashes of words, memoised up to a fixed number of words."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
