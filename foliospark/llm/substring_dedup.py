@@ -10,8 +10,9 @@ whole corpus, which has no size bound, so its automata cannot be broadcast; they
 3. A shard builds a suffix automaton of its contexts, in the order of their ids, so that each state knows the first
    document that holds its words. The contexts are then streamed through it for matching statistics, cut at WINDOW
    words: a window whose state was first seen in a smaller document repeats.
-4. An anchor with more than ``HOT`` different contexts is too much for one task. Its windows are grouped as rows
-   instead, by their words, which finds the same.
+4. An anchor with more than ``HOT`` different contexts is too much for one task. Its contexts are sorted by the words
+   after the anchor and by those before it; neighbours tell how far any other context agrees. Windows within that reach
+   are grouped as rows, by their words, which finds the same.
 5. Covered words are removed while the documents that have any are streamed once more.
 
 Words are compared in step 3 and 4; hashes only choose what is compared (anchors by 64 bits, equal contexts by 128).
@@ -29,9 +30,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import materialise
+from .common import materialise, shuffle_parts
 from .shingles import WordHash, grams, may_hold, mix
 
 WINDOW, ANCHOR = 50, 8
@@ -71,22 +73,21 @@ def stretch_hashes(h: np.ndarray, from_: np.ndarray, to: np.ndarray, base: np.ui
         return mix((sums[to] - sums[from_]) * back[from_] + (to - from_).astype(np.uint64))
 
 
-def contexts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a document's hashed words: anchor hashes, context hashes (2), first windows and numbers of windows."""
+def contexts(h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a document's hashed words: anchors, context hashes (2), numbers of windows, first windows, anchors' places."""
     if len(h) < WINDOW:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
+        return (np.zeros(0, dtype=np.int64),) * 6
     g = grams(h, ANCHOR)
     chosen = least_in_windows(g, WINDOW - ANCHOR + 1)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     count = np.diff(np.r_[first, len(chosen)])
     end = first + count - 1 + WINDOW
     c1, c2 = (stretch_hashes(mix(h + b), first, end, b) for b in _B)
-    return g[chosen[first]].view(np.int64), c1.view(np.int64), c2.view(np.int64), first, count
+    return g[chosen[first]].view(np.int64), c1.view(np.int64), c2.view(np.int64), count, first, chosen[first] - first
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each context, and one for each document with its words and their digest."""
+    """A row for each different context of a document, and one for each document with its words and their digest."""
     import hashlib
 
     hashes = WordHash()
@@ -97,23 +98,30 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total.append(len(found))
             digest.append(hashlib.sha256(b" ".join(found)).hexdigest())
             if len(found) >= WINDOW and not pd.isna(i):
-                x = contexts(hashes.of(found))
-                rows.append(x)
-                own.append(np.full(len(x[0]), i, dtype=np.int64))
-        yield pd.DataFrame({"id": pdf["id"], "a": None, "c1": None, "c2": None, "n": None, "start": None, "n_words": total, "sha": digest})
+                x = contexts(hashes.of(found))[:4]
+                once = np.unique(x[1], return_index=True)[1]  # a repeated line gives one row, not one for each repeat
+                rows.append([c[once] for c in x])
+                own.append(np.full(len(once), i, dtype=np.int64))
+        yield pd.DataFrame({"id": pdf["id"], "a": None, "c1": None, "c2": None, "n": None, "n_words": total, "sha": digest})
         if rows:
-            a, c1, c2, start, n = (np.concatenate([r[k] for r in rows]) for k in range(5))
-            yield pd.DataFrame({"id": np.concatenate(own), "a": a, "c1": c1, "c2": c2, "n": n, "start": start, "n_words": None, "sha": None})
+            a, c1, c2, n = (np.concatenate([r[k] for r in rows]) for k in range(4))
+            yield pd.DataFrame({"id": np.concatenate(own), "a": a, "c1": c1, "c2": c2, "n": n, "n_words": None, "sha": None})
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The words of contexts, cut from the documents that are first to hold them."""
+    hashes = WordHash()
     for pdf in batches:
         out = []
         for i, t, wanted in zip(pdf["id"], pdf["text"], pdf["wanted"], strict=True):
             found = text_words(t)
-            out += [(x["a"], x["c1"], x["c2"], x["n"], i, x["hot"], b" ".join(found[x["start"] : x["start"] + x["n"] - 1 + WINDOW]).decode("utf-8", "surrogatepass")) for x in wanted]
-        yield pd.DataFrame(out, columns=["a", "c1", "c2", "n", "least", "hot", "words"])
+            _, c1, c2, _, first, place = contexts(hashes.of(found))
+            at = {(x, y): (f, p) for x, y, f, p in zip(c1.tolist(), c2.tolist(), first.tolist(), place.tolist(), strict=True)}
+            for x in wanted:
+                f, p = at[x["c1"], x["c2"]]
+                text = b" ".join(found[f : f + x["n"] - 1 + WINDOW]).decode("utf-8", "surrogatepass")
+                out.append((x["a"], x["c1"], x["c2"], x["n"], i, x["hot"], p, text))
+        yield pd.DataFrame(out, columns=["a", "c1", "c2", "n", "least", "hot", "place", "words"])
 
 
 class SuffixAutomaton:
@@ -209,16 +217,26 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Removes the words of repeated windows: all windows of a context (at is null) or those listed."""
     import hashlib
 
+    hashes = WordHash()
     for pdf in batches:
         out = []
-        for i, t, spans in zip(pdf["id"], pdf["text"], pdf["spans"], strict=True):
+        for i, t, hits in zip(pdf["id"], pdf["text"], pdf["hits"], strict=True):
             found = text_words(t)
+            _, c1, c2, n, first, _ = contexts(hashes.of(found))
+            hit = {(x["c1"], x["c2"]): x["at"] for x in hits}
             edge = np.zeros(len(found) + 1, dtype=np.int64)
-            for s in spans:
-                edge[s["from"]] += 1
-                edge[s["to"]] -= 1
+            for x, y, windows, f in zip(c1.tolist(), c2.tolist(), n.tolist(), first.tolist(), strict=True):
+                if (x, y) in hit:
+                    at = hit[x, y]
+                    if at is None:
+                        edge[f] += 1
+                        edge[f + windows - 1 + WINDOW] -= 1
+                    else:
+                        np.add.at(edge, f + np.asarray(at), 1)
+                        np.add.at(edge, f + np.asarray(at) + WINDOW, -1)
             keep = np.cumsum(edge[:-1]) == 0
             kept = [w for w, k in zip(found, keep.tolist(), strict=True) if k]
             text = b" ".join(kept)
@@ -226,47 +244,87 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "n_removed", "kept_text", "kept_sha256"])
 
 
+def _agreeing(a, b) -> int:
+    """Words that two sequences have in common from their start."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def _reaches(batches: Iterator[pd.DataFrame], side: str) -> Iterator[pd.DataFrame]:
+    """Sorted contexts with the most words beside the anchor that a neighbour shares; at a partition's ends, all."""
+
+    def one(rows: list, k: int) -> int:
+        own = rows[k][side]
+        if k == 0 or k == len(rows) - 1:
+            return len(own)
+        return max((_agreeing(own, rows[j][side]) for j in (k - 1, k + 1) if rows[j]["a"] == rows[k]["a"]), default=0)
+
+    held: list[dict] = []
+    begun = False
+    for pdf in batches:
+        held += pdf.to_dict("records")
+        if len(held) > 2:  # the last two rows wait for their next neighbour
+            done = [held[k] | {f"{side}_reach": one(held, k)} for k in range(begun, len(held) - 1)]
+            held, begun = held[-2:], True
+            yield pd.DataFrame(done)
+    if held:
+        yield pd.DataFrame([held[k] | {f"{side}_reach": one(held, k)} for k in range(begun, len(held))])
+
+
 def _hot_windows(hot: DataFrame) -> DataFrame:
-    """(context, at) of repeated windows, by grouping the windows' words."""
+    """(context, at) of repeated windows of crowded anchors, by grouping the words of windows that may repeat."""
     w = F.split("words", " ")
-    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(F.col("w"), i + 1, WINDOW), " ").alias("window")))
-    rows = hot.select(*_CONTEXT, "least", w.alias("w")).select(*_CONTEXT, "least", F.explode(each).alias("x")).select(*_CONTEXT, "least", "x.*")
+    place = F.col("place")
+    rows = hot.select(
+        *_CONTEXT, "least", "place", "words", F.slice(w, place + ANCHOR + 1, 2 * WINDOW).alias("after"), F.reverse(F.slice(w, F.lit(1), place)).alias("before")
+    )
+    for side in ("after", "before"):
+        ranged = rows.repartitionByRange(shuffle_parts(hot.sparkSession), "a", side, "c1").sortWithinPartitions("a", side, "c1")
+        schema = T.StructType([*rows.schema.fields, T.StructField(f"{side}_reach", T.IntegerType())])
+        rows = ranged.mapInPandas(lambda it, side=side: _reaches(it, side), schema)
+    # window i has place - i words before the anchor
+    fits = lambda i: (place - i <= F.col("before_reach")) & (WINDOW - ANCHOR - (place - i) <= F.col("after_reach"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), fits)
+    rows = rows.select(*_CONTEXT, "least", w.alias("w"), F.explode(starts).alias("i"))
+    rows = rows.select(*_CONTEXT, "least", "i", F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("window"))
     first = rows.groupBy(F.col("window").alias("fw")).agg(F.min("least").alias("first"))
     hit = rows.join(first, (F.col("window") == F.col("fw")) & (F.col("first") < F.col("least")))
     return hit.groupBy(*_CONTEXT).agg(F.collect_list("i").alias("at"))
 
 
-def repeated_spans(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(id, text) and the contexts of _anchors to (id, spans): word ranges that are covered by repeated windows."""
+def repeated(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(id, text) and the contexts of _anchors to (id, hits): contexts with repeated windows, and which (null: all)."""
     both = anchors.groupBy(F.col("a").alias("sa")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sa")
-    cand = materialise(anchors.join(both, F.col("a") == F.col("sa")).select("id", *_CONTEXT, "start"))
-    distinct = materialise(cand.groupBy(*_CONTEXT).agg(F.min(F.struct("id", "start")).alias("x")).select(*_CONTEXT, F.col("x.id").alias("least"), F.col("x.start").alias("at")))
+    cand = materialise(anchors.join(both, F.col("a") == F.col("sa")).select("id", *_CONTEXT))
+    distinct = materialise(cand.groupBy(*_CONTEXT).agg(F.min("id").alias("least")))
     # an anchor with one context: its windows repeat wherever the context is found again
     crowd = distinct.groupBy(F.col("a").alias("sa")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    several = distinct.join(crowd, F.col("a") == F.col("sa")).select(*_CONTEXT, "least", "at", (F.col("k") > HOT).alias("hot"))
-    wanted = materialise(several.groupBy(F.col("least").alias("i")).agg(F.collect_list(F.struct(*_CONTEXT, F.col("at").alias("start"), "hot")).alias("wanted")))
+    several = distinct.join(crowd, F.col("a") == F.col("sa")).select(*_CONTEXT, "least", (F.col("k") > HOT).alias("hot"))
+    wanted = materialise(several.groupBy(F.col("least").alias("i")).agg(F.collect_list(F.struct(*_CONTEXT, "hot")).alias("wanted")))
     source = may_hold(docs, "id", wanted.select("i")).dropDuplicates(["id"]).join(wanted, F.col("id") == F.col("i")).select("id", "text", "wanted")
-    cut = materialise(source.mapInPandas(_stretches, "a long, c1 long, c2 long, n int, least long, hot boolean, words string"))
+    cut = materialise(source.mapInPandas(_stretches, "a long, c1 long, c2 long, n int, least long, hot boolean, place int, words string"))
     calm = cut.where("not hot").repartition("a").sortWithinPartitions("a")
     found = calm.mapInPandas(_shards, "a long, c1 long, c2 long, n int, at array<int>").unionByName(_hot_windows(cut.where("hot")))
     # a document after the first to hold a context repeats all of it; the first repeats what an earlier one had
     key = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in _CONTEXT], *[c for c in d.columns if c not in _CONTEXT])
     same = lambda p: [F.col(c) == F.col(p + c) for c in _CONTEXT]
-    held = cand.join(key(distinct.drop("at"), "d_"), same("d_"))
-    later = held.where("id > least").select("id", F.col("start").alias("from"), (F.col("start") + F.col("n") - 1 + WINDOW).alias("to"))
-    first = held.where("id = least").select("id", *_CONTEXT, "start").join(key(found, "f_"), same("f_"))
-    first = first.select("id", "start", F.explode("at").alias("k")).select("id", (F.col("start") + F.col("k")).alias("from"), (F.col("start") + F.col("k") + WINDOW).alias("to"))
-    return later.unionByName(first).groupBy("id").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    later = cand.join(key(distinct, "d_"), same("d_")).where("id > least").select("id", "c1", "c2", F.lit(None).cast("array<int>").alias("at"))
+    first = found.join(key(distinct, "d_"), same("d_")).select(F.col("least").alias("id"), "c1", "c2", "at")
+    return later.unionByName(first).groupBy("id").agg(F.collect_list(F.struct("c1", "c2", "at")).alias("hits"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_text (null where nothing went), kept_sha256."""
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialise(docs.mapInPandas(_anchors, "id long, a long, c1 long, c2 long, n int, start int, n_words long, sha string"))
-    spans = materialise(repeated_spans(docs.where("id is not null"), rows.where("a is not null").select("id", *_CONTEXT, "start")).withColumnRenamed("id", "i"))
-    touched = may_hold(docs.where("id is not null"), "id", spans.select("i")).dropDuplicates(["id"]).join(spans, F.col("id") == F.col("i"))
-    changed = touched.select("id", "text", "spans").mapInPandas(_cut, "id long, n_removed long, kept_text string, kept_sha256 string").withColumnRenamed("id", "i")
+    rows = materialise(docs.mapInPandas(_anchors, "id long, a long, c1 long, c2 long, n int, n_words long, sha string"))
+    hits = materialise(repeated(docs.where("id is not null"), rows.where("a is not null").select("id", *_CONTEXT)).withColumnRenamed("id", "i"))
+    touched = may_hold(docs.where("id is not null"), "id", hits.select("i")).dropDuplicates(["id"]).join(hits, F.col("id") == F.col("i"))
+    changed = touched.select("id", "text", "hits").mapInPandas(_cut, "id long, n_removed long, kept_text string, kept_sha256 string").withColumnRenamed("id", "i")
     out = rows.where("a is null").select("id", "n_words", "sha").join(changed, F.col("id") == F.col("i"), "left")
     return out.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), "kept_text", F.coalesce("kept_sha256", "sha").alias("kept_sha256")
