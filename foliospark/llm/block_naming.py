@@ -46,7 +46,9 @@ def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin = h[0] if hash_ is None else first[0][0]
         first += [(x, k, int(n)) for x, k, n in zip(h[new & (h == begin)], key[new & (h == begin)], names[new & (h == begin)], strict=True)]
         at = new & (h == h[-1])
-        last = last * (h[-1] == hash_) + [(x, k, int(n)) for x, k, n in zip(h[at], key[at], names[at], strict=True)]
+        if h[-1] != hash_:
+            last = []
+        last += [(x, k, int(n)) for x, k, n in zip(h[at], key[at], names[at], strict=True)]
         hash_, key_, number = h[-1], key[-1], int(names[-1])
         yield pdf[["row", "pos", "n", "id", "sha"]].assign(part=part, name=names, h=None, edge=None, key=None)
     for edge, keys in (("first", first), ("last", last)):

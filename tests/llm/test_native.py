@@ -158,6 +158,24 @@ def test_exact(spark, odd_docs, no_docs):
     assert block_naming.exact_dedup(no_docs).count() == 0
 
 
+def test_names_over_batches(spark, odd_docs, monkeypatch):
+    """Partitions of many small batches, with hashes that go on over batches and partitions."""
+    df = spark.createDataFrame([(i, "ab" * (i % 5) + "c" * (i % 3)) for i in range(200)], "doc_id long, text string")
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["text"], []).append(r["doc_id"])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for equal in (False, True):
+            if equal:
+                monkeypatch.setattr(block_naming.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+            got = {r["doc_id"]: r["keep_id"] for r in block_naming.exact_dedup(df, block=4).collect()}
+            assert got == {i: max(g) for g in groups.values() for i in g}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_keep_one(spark, odd_docs, no_docs):
     kept = block_naming.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
