@@ -49,8 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
     path, pattern = bpe_files()
-    coded = byte_bpe.encode(docs.select(*COLUMNS), path, pattern)
-    back = byte_bpe.decode(coded, path, pattern)
+    back = byte_bpe.encode(docs.select(*COLUMNS), path, pattern, decoded="decoded")
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -17,7 +17,7 @@ into pieces as a stream, and a batch is closed when it holds ``BATCH`` tokens.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from ..runtime import ship
 
-BATCH = 1 << 22
-MEMO = 1 << 19
+BATCH = 1 << 20
+MEMO = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -149,16 +149,37 @@ def _encoder(shared) -> Encoder:
     return _OWN[key]
 
 
+_TOKENS: dict[tuple, dict[int, bytes]] = {}
+
+
+def _tokens(shared) -> dict[int, bytes]:
+    """Bytes of each id, once per Python worker; decoding needs no more."""
+    raw = shared.value[0]
+    key = (hash(raw), len(raw))
+    if key not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[key] = {int(b): base64.b64decode(a) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
+    return _TOKENS[key]
+
+
+def _bytes_of(ids: Iterable[np.ndarray], shared) -> pa.Array:
+    token = _tokens(shared).__getitem__
+    return pa.array((b"".join(map(token, x.tolist())) for x in ids), type=pa.binary())
+
+
 def _broadcast(df: DataFrame, path: str, pattern: str):
     ship(df.sparkSession)
     with open(path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast((f.read(), pattern))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with its text column replaced by ids, array<int> (a column of that name is replaced too)."""
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """df with its text column replaced by ids, array<int> (a column of that name is replaced too).
+
+    decoded: a column for what the ids decode to, made in the same Python workers rather than in a second set of them.
+    """
     shared = _broadcast(df, path, pattern)
-    keep = [c for c in df.columns if c not in (text, ids)]
+    keep = [c for c in df.columns if c not in (text, ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(shared)
@@ -169,13 +190,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 if k == len(texts) or held >= BATCH:
                     offsets = pa.array(np.cumsum([0, *map(len, parts)]), type=pa.int32())
                     values = pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int32)]), type=pa.int32())
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(from_, k - from_) for c in keep), pa.ListArray.from_arrays(offsets, values)], names=[*keep, ids])
+                    made = [pa.ListArray.from_arrays(offsets, values)] + [_bytes_of(parts, shared)] * bool(decoded)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(from_, k - from_) for c in keep), *made], names=[*keep, ids, *[decoded] * bool(decoded)])
                     from_, parts, held = k, [], 0
                 if k < len(texts):
                     parts.append(own.encode(texts[k].as_py() or ""))
                     held += len(parts[-1])
 
     schema = T.StructType([df.schema[c] for c in keep]).add(ids, T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add(decoded, T.BinaryType())
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
@@ -185,10 +209,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     df = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _encoder(shared).tokens.__getitem__
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
-            whole = [b"".join(map(token, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in col]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole, type=pa.binary())], names=[*batch.schema.names, out])
+            whole = _bytes_of((x.values.to_numpy() if x.is_valid else np.zeros(0, dtype=np.int32) for x in col), shared)
+            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))

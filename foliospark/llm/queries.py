@@ -71,8 +71,7 @@ def bpe_files() -> tuple[str, str]:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = bpe_files()
-    coded = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
-    back = byte_bpe.decode(coded, path, pattern)
+    back = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern, decoded="decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
