@@ -76,21 +76,39 @@ def _present(text: str, slot: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent; rows hold the present features."""
-    cols = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    x = ratio[cols]
-    n = len(rows)
-    rate = 1.0 / (0.25 * max(1e-9, np.bincount(owner, x * x, minlength=n).max() + 1) + l2)
+def _fit(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent on present features (cols, row after row; sizes by row).
+
+    A presence is scaled by its feature's ratio, so two index arrays, by row and by feature, are all that is held.
+    """
+    n, some = len(sizes), sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[some]
+    by_col = np.argsort(cols, kind="stable").astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)[by_col]
+    counts = np.bincount(cols, minlength=len(ratio))
+    used = counts > 0
+    col_starts = (np.cumsum(counts) - counts)[used]
+
+    def per_row(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(starts):
+            out[some] = np.add.reduceat(v[cols], starts)
+        return out
+
+    def per_feature(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ratio))
+        if len(col_starts):
+            out[used] = np.add.reduceat(v[owner], col_starts)
+        return out
+
+    rate = 8.0 / (0.25 * (per_row(ratio * ratio).max() + 1) + l2)
     w, b, w0, b0 = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0
     for k in range(steps):
         vw, vb = w + (k / (k + 3)) * (w - w0), b + (k / (k + 3)) * (b - b0)
-        z = np.bincount(owner, x * vw[cols], minlength=n) + vb
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        e = 1 / (1 + np.exp(-np.clip(per_row(ratio * vw) + vb, -30, 30))) - y
         w0, b0 = w, b
-        w = vw - rate * 8 * (np.bincount(cols, x * e[owner], minlength=len(ratio)) / n + l2 * vw)
-        b = vb - rate * 8 * e.mean()
+        w = vw - rate * (ratio * per_feature(e) / n + l2 * vw)
+        b = vb - rate * e.mean()
     return w, b
 
 
@@ -101,7 +119,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     n = rows.count()
     part = F.crc32(F.concat(F.lit("sample:"), F.col("i").cast("string")).cast("binary")) < int(min(1.0, sample / max(n, 1)) * 2**32)
     chosen = F.broadcast(rows.where(part))  # about `sample` rows of two numbers, whatever the input
-    texts = materialise(df.select(F.col(id_col).alias("i"), F.col(text).alias("text")).join(chosen, "i").select("y", "text"))
+    texts = materialise(df.select(F.col(id_col).alias("i"), F.col(text).alias("text")).join(chosen, "i").select("i", "y", "text"))
     counts = texts.mapInPandas(_class_counts, "b int, c0 long, c1 long").groupBy("b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     counts = counts.where("b < 0 or c1 >= 3").toPandas()  # buckets, at most
     size = counts[counts.b < 0]
@@ -117,14 +135,18 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [_present(t or "", shared.value) for t in pdf["text"]]})
-
-    got = texts.mapInPandas(rows_of, "y int, x array<int>").toPandas()
-    got["x"] = [np.asarray(x, dtype=np.int64) for x in got["x"]]
-    got["key"] = [(y, len(x), x.tobytes()) for y, x in zip(got["y"], got["x"], strict=True)]
-    got = got.sort_values("key")  # sums in one order: reruns agree
+            x = [_present(t or "", shared.value).astype(np.int16) for t in pdf["text"]]
+            packed = [pdf["i"].to_numpy(dtype=np.int64), pdf["y"].to_numpy(dtype=np.int8), np.array([len(v) for v in x], dtype=np.int32), np.concatenate([*x, np.zeros(0, dtype=np.int16)])]
+            yield pd.DataFrame([[v.tobytes() for v in packed]], columns=["i", "y", "n", "x"])
+
+    parts = texts.mapInPandas(rows_of, "i binary, y binary, n binary, x binary").collect()  # of the sample: two bytes a feature
+    ids, y, sizes, cols = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in enumerate((np.int64, np.int8, np.int32, np.int16)))
+    del parts
+    order = np.lexsort((sizes, y, ids))  # sums in one order: reruns agree
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    cols = np.concatenate([*(cols[first[k] : first[k] + sizes[k]] for k in order), np.zeros(0, dtype=np.int16)]).astype(np.int32)
     r = best.r.to_numpy()
-    w, b = _fit(list(got["x"]), got["y"].to_numpy(dtype=float), r, l2)
+    w, b = _fit(cols, sizes[order].astype(np.int64), y[order].astype(float), r, l2)
     return Model(slot, w * r, b)
 
 
