@@ -5,9 +5,11 @@ occurrence-labelled 5-word shingles and keeps them in text order: texts share it
 the same order, so agreement follows edit similarity, not just set overlap. Texts that share a sketch are candidates,
 and a candidate pair is linked if an alignment in a band finds at most ``1 - similarity`` edits a word.
 
-Candidates of a bucket: each member with the bucket's least id, and with its neighbours by length. That is linear in the
-bucket, and no bucket is capped; a bucket of more than ``HOT`` members is dealt out by the next sketch first, which
-near copies also share. Equal word sequences are one member from the start, so copies make no pairs at all.
+Candidates of a bucket: first each member with a few others (linear in the bucket), which joins most copies into classes.
+Then all pairs of the bucket that are of different classes and whose word counts allow the similarity, so that no two
+members of a bucket are left uncompared unless they are of one class already or cannot be similar. That may grow with the
+square of a bucket of unlike texts; blocks of ``HOT`` members keep every task small. Equal word sequences are one member
+from the start, so copies make no pairs at all.
 
 Defined results: a text without words (null, empty) is a class by itself; fewer than five words make one shingle; rows
 with a null id have a null class; rows that repeat an id are one document; an empty table gives an empty table; extra
@@ -28,6 +30,8 @@ from .common import materialise
 from .shingles import WordHash, components, grams, may_hold, mix
 
 SHINGLE, SIMILARITY, SKETCHES, HOT, NEIGHBOURS = 5, 0.8, 16, 512, 2
+#: Counts of words by hash; texts differ by at least as many edits as one has words more than the other, bin by bin.
+BINS = 64
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _GAPS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -59,6 +63,12 @@ def sketch(h: np.ndarray, k: int = SHINGLE, m: int = SKETCHES) -> np.ndarray:
     return mix(g[low] * np.uint64(0x9E3779B97F4A7C15) + (g[high] ^ np.arange(m, dtype=np.uint64))).view(np.int64)
 
 
+def profile(h: np.ndarray) -> bytes:
+    """Counts of hashed words in ``BINS`` bins; a full bin only lowers the bound."""
+    counts = np.bincount((mix(h) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
@@ -114,11 +124,12 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
             found = text_words(t)  # of one text at a time: a batch of words would be many times its text
-            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, sketch(hashes.of(found))
+            h = hashes.of(found)
+            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, sketch(h), profile(h)
 
     hashes = WordHash()
     for pdf in batches:
-        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch"])
+        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "profile"])
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,43 +152,112 @@ def allowed(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def candidates(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, n, sketch) to distinct pairs (a, b), a < b, whose lengths allow the similarity."""
+def buckets(members: DataFrame) -> DataFrame:
+    """(id, n, sketch, profile) to (id, n, h, next, size): a row for each sketch that at least two members share."""
     m = F.size("sketch")
-    rows = members.select("id", "n", F.explode(F.transform("sketch", lambda h, j: F.struct(j.alias("j"), h.alias("h"), F.element_at("sketch", (j + 1) % m + 1).alias("next")))).alias("s")).select("id", "n", "s.*")
-    groups = rows.groupBy(F.col("j").alias("gj"), F.col("h").alias("gh")).agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("hub")).where("size > 1")
-    shared = rows.join(groups, (F.col("j") == F.col("gj")) & (F.col("h") == F.col("gh"))).select(
-        "id", "n", "j", "h", "hub", F.when(F.col("size") > HOT, F.col("next")).otherwise(F.lit(0).cast("long")).alias("deal")
-    )
-    w = Window.partitionBy("j", "h", "deal").orderBy("n", "id")
+    rows = members.select("id", "n", F.explode(F.transform("sketch", lambda h, j: F.struct(h.alias("h"), F.element_at("sketch", (j + 1) % m + 1).alias("next")))).alias("s")).select("id", "n", "s.*")
+    groups = rows.groupBy(F.col("h").alias("gh")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(groups, F.col("h") == F.col("gh")).drop("gh")
+
+
+def candidates(shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Rows of buckets to a first set of distinct pairs (a, b), a < b, linear in the rows: each member with the member
+    that shares most in the table (the likely origin of copies), with the least id and with neighbours by length."""
     one = F.struct("id", "n")
-    before = [F.lag(one, k).over(w).alias(f"o{k}") for k in range(1, NEIGHBOURS + 1)]
-    near = shared.select("id", "n", F.col("hub").alias("o0"), *before)
-    others = F.explode(F.array(*[f"o{k}" for k in range(NEIGHBOURS + 1)])).alias("o")
-    pairs = near.select("id", "n", others).where("o is not null and o.id <> id")
+    weight = shared.groupBy(F.col("id").alias("wid")).agg(F.sum("size").alias("weight"))
+    heavy = shared.join(weight, F.col("id") == F.col("wid"))
+    hubs = heavy.groupBy(F.col("h").alias("gh")).agg(F.min(one).alias("o0"), F.max_by(one, F.struct("weight", -F.col("id"))).alias("o1"))
+    dealt = shared.join(hubs, F.col("h") == F.col("gh")).withColumn("deal", F.when(F.col("size") > HOT, F.col("next")).otherwise(F.lit(0).cast("long")))
+    w = Window.partitionBy("h", "deal").orderBy("n", "id")
+    names = ["o0", "o1", *[f"l{k}" for k in range(1, NEIGHBOURS + 1)]]
+    near = dealt.select("id", "n", "o0", "o1", *[F.lag(one, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
+    pairs = near.select("id", "n", F.explode(F.array(*names)).alias("o")).where("o is not null and o.id <> id")
     close = F.least("n", "o.n") >= F.greatest("n", "o.n") * similarity - 1e-6
     return pairs.where(close).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
 
-def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b) of members; df has (id, text)."""
-    pairs = materialise(candidates(members, similarity))
+def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Every pair (a, b) of a bucket whose ends are of different classes so far and whose profiles allow the similarity.
+
+    No bucket is capped: one of more than ``HOT`` members is dealt into blocks, and every two blocks meet.
+    """
+    named = shared.select("id", "n", "h", "size").join(root, F.col("id") == F.col("node"), "left").select("id", "n", "h", "size", F.coalesce("root", "id").alias("root"))
+    named = materialise(named)
+    open_ = named.groupBy(F.col("h").alias("gh")).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("gh")
+    rows = named.join(open_, F.col("h") == F.col("gh")).join(members.select(F.col("id").alias("pid"), "profile"), F.col("id") == F.col("pid"))
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("h", F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t"), "x", "id", "n", "root", "profile")
+    dealt = rows.repartition("h", "s", "t").sortWithinPartitions("h", "s", "t")
+    return dealt.mapInPandas(lambda it: _crossed(it, similarity), "a long, b long").distinct()
+
+
+def _crossed(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs within each (h, s, t), of the blocks s and t; a group may go on in the next batch."""
+    held = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        key = held[["h", "s", "t"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        yield _pairs(held.iloc[: starts[-1]], starts, similarity)
+        held = held.iloc[starts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield _pairs(held, np.array([0, len(held)]), similarity)
+
+
+def _pairs(rows: pd.DataFrame, starts: np.ndarray, similarity: float) -> pd.DataFrame:
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if len(rows):
+        ids, n, root, x, s, t = (rows[c].to_numpy() for c in ("id", "n", "root", "x", "s", "t"))
+        profiles = np.frombuffer(b"".join(rows["profile"]), dtype=np.uint16).reshape(len(rows), BINS).astype(np.int32)
+        most = np.floor(n * (1 - similarity) + 1e-9)
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            if (root[at:end] == root[at]).all():
+                continue
+            for i in range(at, end):
+                if x[i] != s[i]:
+                    continue
+                j = np.arange(i + 1, end) if s[i] == t[i] else at + np.flatnonzero(x[at:end] == t[i])
+                j = j[root[j] != root[i]]
+                allowed_ = np.maximum(most[j], most[i])
+                ok = np.abs(n[j] - n[i]) <= allowed_
+                j, allowed_ = j[ok], allowed_[ok]
+                if len(j):
+                    d = profiles[j] - profiles[i]
+                    up = np.maximum(d, 0).sum(axis=1)
+                    j = j[np.maximum(up, up - d.sum(axis=1)) <= allowed_]
+                    left.append(np.minimum(ids[j], ids[i]))
+                    right.append(np.maximum(ids[j], ids[i]))
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+
+
+def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose texts align; df has (id, text)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = may_hold(df.where("id is not null"), "id", ends).join(ends, "id", "left_semi")
     vecs = materialise(some.dropDuplicates(["id"]).mapInPandas(_vectors, "id long, vec array<int>"))
     both = pairs.join(vecs.toDF("a", "va"), "a").join(vecs.toDF("b", "vb"), "b")
-    return both.mapInPandas(lambda it: _aligned(it, similarity), "a long, b long")
+    return materialise(both.mapInPandas(lambda it: _aligned(it, similarity), "a long, b long"))
+
+
+def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) that connect all members of which some bucket holds both and whose texts align; df has (id, text)."""
+    shared = materialise(buckets(members))
+    first = materialise(candidates(shared, similarity))
+    root = components(verified(df, first, similarity).toDF("u", "v"))
+    rest = materialise(remaining(shared, members, root, similarity).join(first, ["a", "b"], "left_anti"))
+    return root.toDF("u", "v").unionByName(verified(df, rest, similarity).toDF("u", "v"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size, kept (it is that least id)."""
     ship(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>"))
+    rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary"))
     known = rows.where("id is not null and digest is not null")
-    members = materialise(known.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("digest", "x.*"))
-    found = links(df, members.select("id", "n", "sketch"), similarity)
-    root = components(found.toDF("u", "v"))
+    members = materialise(known.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "profile")).alias("x")).select("digest", "x.*"))
+    found = links(df, members.select("id", "n", "sketch", "profile"), similarity)
+    root = components(found)
     named = members.select("digest", "id").join(root, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
     ids = rows.select("id", "digest").join(named, "digest", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("class_id"))
     ids = materialise(ids)

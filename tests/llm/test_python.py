@@ -1,6 +1,7 @@
 """Language, toxicity, substring and near dedup, BPE, the pipeline: brute force, held-out accuracy, odd rows."""
 
 import hashlib
+import itertools
 import random
 from collections import defaultdict
 
@@ -240,6 +241,40 @@ def test_hot_buckets(spark, monkeypatch):
     assert {r["class_id"] for r in got.collect()} == {0}
 
 
+def _changed(r: random.Random, words: list, share: float, keep: int = 0) -> list:
+    """Words with that share of them, spread out behind the first ``keep``, replaced."""
+    out = list(words)
+    for i in r.sample(range(keep, len(out)), int(len(out) * share)):
+        out[i] = f"new{r.randrange(10**9)}"
+    return out
+
+
+def _bucket_mates(texts: dict) -> dict:
+    """Pairs of texts that share order sketches and align: number of shared sketches."""
+    hashes, by, shared = shingles.WordHash(), defaultdict(list), defaultdict(int)
+    vec = {i: hashes.of(order_minhash.text_words(t)) for i, t in texts.items()}
+    for i, v in vec.items():
+        for k in enumerate(order_minhash.sketch(v).tolist()):
+            by[k].append(i)
+    for ids in by.values():
+        for a, b in itertools.combinations(sorted(ids), 2):
+            shared[a, b] += 1
+    near = lambda a, b: order_minhash.allowed(max(len(vec[a]), len(vec[b])), 0.8)
+    return {(a, b): n for (a, b), n in shared.items() if order_minhash.banded_distance(vec[a], vec[b], near(a, b)) <= near(a, b)}
+
+
+def test_crowded_buckets(spark):
+    """Many distant copies of texts of which none has the least id: what shares a sketch and aligns is one class."""
+    r = random.Random(11)
+    texts = {}
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(200)]
+        texts |= {g * 1000 + i: " ".join(_changed(r, base, 0.13) if i != 70 else base) for i in range(140)}
+    got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    mates = _bucket_mates(texts)
+    assert len(mates) > 300 and not [p for p in mates if got[p[0]] != got[p[1]]]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)]
