@@ -5,7 +5,8 @@ occurrence-labelled 5-word shingles and keeps them in text order: texts share it
 the same order, so agreement follows edit similarity, not just set overlap. Texts that share a sketch are candidates,
 and a candidate pair is linked if an alignment in a band finds at most ``1 - similarity`` edits a word.
 
-Candidates of a bucket: first each member with a few others (linear in the bucket), which joins most copies into classes.
+Candidates of a bucket: first each member with a few others (linear in the bucket), which joins most copies into classes (only
+here a bucket of more than ``HOT`` members is dealt out by the next sketch for its neighbours; no pair depends on that).
 Then all pairs of the bucket that are of different classes and whose word counts allow the similarity, so that no two
 members of a bucket are left uncompared unless they are of one class already or cannot be similar. That may grow with the
 square of a bucket of unlike texts; blocks of ``HOT`` members keep every task small. Equal word sequences are one member

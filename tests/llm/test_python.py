@@ -275,6 +275,21 @@ def test_crowded_buckets(spark):
     assert len(mates) > 300 and not [p for p in mates if got[p[0]] != got[p[1]]]
 
 
+def test_one_shared_sketch_in_a_hot_bucket(spark, monkeypatch):
+    """Pairs that share only the sketch of a passage that many unlike texts hold too, in a bucket above HOT."""
+    monkeypatch.setattr(order_minhash, "HOT", 4)
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join(passage + [f"u{i}w{k}" for k in range(110)]) for i in range(60)}
+    for g in range(150):
+        base = passage + [f"g{g}w{k}" for k in range(110)]
+        texts |= {1000 + 2 * g: " ".join(base), 1001 + 2 * g: " ".join(_changed(r, base, 0.19, 40))}
+    once = [p for p, n in _bucket_mates(texts).items() if n == 1]
+    got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(once) >= 5 and not [p for p in once if got[p[0]] != got[p[1]]]
+    assert len({got[i] for i in range(60)}) == 60
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000 + i) for i in range(1, 50)]
