@@ -2,8 +2,8 @@
 
 Texts become words (lower case, ASCII marks are gaps). A sketch takes, under one hash order, the two least
 occurrence-labelled 5-word shingles and keeps them in text order: texts share it only if they hold the same shingles in
-the same order, so agreement follows edit similarity, not just set overlap. Texts that share a sketch are candidates,
-and a candidate pair is linked if an alignment in a band finds at most ``1 - similarity`` edits a word.
+the same order, so agreement follows edit similarity, not just set overlap. Beside them are samples of single shorter
+shingles, of which pairs down to the similarity share some. Texts that share a sketch or sample are candidates, and a candidate pair is linked if an alignment in a band finds at most ``1 - similarity`` edits a word.
 
 Candidates of a bucket: first each member with a few others (linear in the bucket), which joins most copies into classes (only
 here a bucket of more than ``HOT`` members is dealt out by the next sketch for its neighbours; no pair depends on that).
@@ -31,6 +31,8 @@ from .common import materialise
 from .shingles import WordHash, components, grams, may_hold, mix
 
 SHINGLE, SIMILARITY, SKETCHES, HOT, NEIGHBOURS = 5, 0.8, 16, 512, 2
+#: Plain samples beside the sketches, which find pairs down to the similarity; fewer words give runs of two.
+SAMPLES, SHORT = 32, 100
 #: Counts of words by hash; texts differ by at least as many edits as one has words more than the other, bin by bin.
 BINS = 64
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -70,6 +72,28 @@ def profile(h: np.ndarray) -> bytes:
     return np.minimum(counts, 65535).astype(np.uint16).tobytes()
 
 
+def samples(h: np.ndarray) -> np.ndarray:
+    """Least occurrence-labelled shingles of two or four words under ``SAMPLES`` hash orders each (int64).
+
+    An edit breaks at most as many shingles as a shingle has words, so similar texts share many even if edits are spread
+    evenly. Texts of under ``SHORT`` words give runs of two, those of at least ``0.8 * SHORT`` runs of four: a similar
+    pair has one kind in common.
+    """
+    out = [np.zeros(0, dtype=np.uint64)]
+    for k, fits in ((2, len(h) < SHORT), (4, len(h) >= SIMILARITY * SHORT - 1)):
+        if not fits or len(h) < k:
+            continue
+        g = grams(h, k)
+        _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+        order = np.argsort(inverse, kind="stable")
+        label = np.empty(len(g), dtype=np.uint64)
+        label[order] = (np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
+        key = mix(g + label * np.uint64(0xD1B54A32D192ED03))
+        least = np.array([((key ^ s) * np.uint64(0xDA942042E4DD58B5)).min() for s in _SEEDS[SKETCHES : SKETCHES + SAMPLES]])
+        out.append(mix(least + np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)))
+    return np.concatenate(out).view(np.int64)
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
@@ -126,7 +150,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
             found = text_words(t)  # of one text at a time: a batch of words would be many times its text
             h = hashes.of(found)
-            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, sketch(h), profile(h)
+            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, np.r_[sketch(h), samples(h)], profile(h)
 
     hashes = WordHash()
     for pdf in batches:
