@@ -69,7 +69,7 @@ def format_windows(df: DataFrame, budget: int = 1024, history: int = 128) -> Dat
     t = _numbered(df, budget // 2)
     span = ("k", "cell", "big")
     starts = t.groupBy(*span).agg(F.min(F.struct("pos", "before", "conv_id")).alias("x")).select(*span, "x.*").where("pos > 0")
-    reach = max(1, history // (OVERHEAD + 1))
+    reach = max(1, history // OVERHEAD)
     back = starts.select(
         *span, F.col("before").alias("upto"),
         F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("pos") - reach), F.col("pos") - 1)).alias("p"), F.col("k").alias("k_"),

@@ -237,6 +237,13 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_windows(df.where("false"))).count() == 0
 
 
+def test_chat_repeats_empty_turns(spark):
+    """Empty turns count for their marks alone: as many are repeated as the history budget holds."""
+    df = spark.createDataFrame([("c", i, "user", "" if i % 2 else None) for i in range(200)], "conv_id string, turn int, role string, text string")
+    got = {r["start"]: r["n_repeated"] for r in chat.format_windows(df).select("start", "n_repeated").collect()}
+    assert got == {0: 0, 128: 128 // chat.OVERHEAD}
+
+
 def test_chat_is_native(spark, sf):
     df = QUERIES["op8_chat_format"](spark, sf)
     assert "Python" not in df._jdf.queryExecution().toString()
