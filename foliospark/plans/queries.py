@@ -106,7 +106,7 @@ def _shifted(spark, sf):
     dx = (b["x1"] - b["x0"]) / 8
     moved = direct.where("seq % 2 = 0").withColumns({
         "bbox": G.box(b["x0"] + dx, b["y0"], b["x1"] + dx, b["y1"]), "stage_ord": F.lit(1), "source_stage": F.lit("block_ocr"),
-        "text": F.concat(F.substring("text", 4, 10000), F.lit(" end")), "block_id": F.concat("block_id", F.lit("_ocr")),
+        "text": F.concat(F.expr("substring(text, 4)"), F.lit(" end")), "block_id": F.concat("block_id", F.lit("_ocr")),
     })
     return direct.unionByName(moved)
 

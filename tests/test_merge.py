@@ -122,3 +122,11 @@ def test_grid_rule(spark):
 def test_priority_covers_stages(spark):
     df = spark.createDataFrame([(s,) for s in STAGES], "s string")
     assert dict(df.select("s", merge.priority(F.col("s"))).collect()) == {s: PRIORITY.get(s, 0) for s in STAGES}
+
+
+def test_moved_copies_keep_long_texts(spark, tmp_path):
+    from foliospark.plans import queries
+
+    spark.createDataFrame([(1, "word " * 3000, "en", "a", 15000)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    lengths = [len(r["text"]) for r in queries._shifted(spark, str(tmp_path)).select("stage_ord", "text").orderBy("stage_ord").collect()]
+    assert lengths == [14999, 14999 - 3 + len(" end")]
