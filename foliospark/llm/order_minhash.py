@@ -2,19 +2,22 @@
 
 Texts become words (lower case, ASCII marks are gaps). A sketch takes, under one hash order, the two least
 occurrence-labelled 5-word shingles and keeps them in text order: texts share it only if they hold the same shingles in
-the same order, so agreement follows edit similarity, not just set overlap. Beside them are samples of single shorter
-shingles, of which pairs down to the similarity share some. Texts that share a sketch or sample are candidates, and a candidate pair is linked if an alignment in a band finds at most ``1 - similarity`` edits a word.
+the same order, so agreement follows edit similarity, not just set overlap. Texts that share one of those
+sketches (a bucket) are candidates; a candidate pair is linked if an alignment in a band finds at most
+``1 - similarity`` edits a word.
 
-Candidates of a bucket: first each member with a few others (linear in the bucket), which joins most copies into classes (only
-here a bucket of more than ``HOT`` members is dealt out by the next sketch for its neighbours; no pair depends on that).
-Then all pairs of the bucket that are of different classes and whose word counts allow the similarity, so that no two
-members of a bucket are left uncompared unless they are of one class already or cannot be similar. That may grow with the
-square of a bucket of unlike texts; blocks of ``HOT`` members keep every task small. Equal word sequences are one member
-from the start, so copies make no pairs at all.
+All pairs of a bucket are candidates, at every size of bucket. First each member meets the bucket's least and greatest
+id (linear in the bucket), which joins most copies into classes. Then the pairs of different classes are compared by
+bounds that never rule out a similar pair: word counts, and bits of the words that one text has and the other lacks.
+That work grows with the square of a bucket of unlike texts, as word operations on bits; members are dealt into blocks
+by length and hash, so a task holds at most two blocks, and only pairs within the bounds are written. Equal word
+sequences are one member from the start, so copies make no pairs at all.
 
 Defined results: a text without words (null, empty) is a class by itself; fewer than five words make one shingle; rows
 with a null id have a null class; rows that repeat an id are one document; an empty table gives an empty table; extra
-columns are ignored. Classes are connected components of the links, named by their least id, found in tables.
+columns are ignored; a very long text is sketched whole, a few hash orders at a time, and aligned in a band of
+``1 - similarity`` of its words. Among equal sketches or sizes nothing is chosen: classes are connected components of
+the links, named by their least id, found in tables.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import materialise
-from .shingles import WordHash, components, grams, may_hold, mix
-
-SHINGLE, SIMILARITY, SKETCHES, HOT, NEIGHBOURS = 5, 0.8, 16, 512, 2
-#: Plain samples beside the sketches, which find pairs down to the similarity; fewer words give runs of two.
-SAMPLES, SHORT = 32, 100
-#: Counts of words by hash; texts differ by at least as many edits as one has words more than the other, bin by bin.
-BINS = 64
-_SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+from .common import join_back, materialise, salted_join
+from .shingles import WordHash, components, grams, may_hold, mix, occurrences
+
+SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 16
+#: Further sketches, of shorter shingles: edits spread evenly at the similarity leave no run of five words whole.
+SHORT, SHORT_SKETCHES = 3, 96
+#: Members of a block, when all pairs of a bucket are compared; no pair depends on it.
+HOT = 4096
+#: Elements of one numpy operation while a text is sketched or a block compared.
+CHUNK = 1 << 20
 _GAPS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
@@ -48,50 +52,35 @@ def sketch(h: np.ndarray, k: int = SHINGLE, m: int = SKETCHES) -> np.ndarray:
     if not len(h):
         return np.zeros(0, dtype=np.int64)
     g = grams(h, min(k, len(h)))
-    count = np.zeros(len(g), dtype=np.uint64)  # label occurrences: first, second, ...
-    order = np.argsort(g, kind="stable")
-    same = np.r_[False, g[order][1:] == g[order][:-1]]
-    if same.any():
-        at = np.arange(len(g))
-        count[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
-    key = mix(g + count * np.uint64(0xD1B54A32D192ED03))
+    key = mix(g + occurrences(g) * np.uint64(0xD1B54A32D192ED03))
+    seeds = mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * (k - SHINGLE)))
     low, high = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
-    for j in range(m):
-        v = (key ^ _SEEDS[j]) * np.uint64(0xDA942042E4DD58B5)
-        a = b = int(v.argmin())
-        if len(v) > 1:
-            v[a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            b = int(v.argmin())
-        low[j], high[j] = min(a, b), max(a, b)
-    return mix(g[low] * np.uint64(0x9E3779B97F4A7C15) + (g[high] ^ np.arange(m, dtype=np.uint64))).view(np.int64)
+    step = max(1, CHUNK // len(key))
+    for j in range(0, m, step):
+        v = (key ^ seeds[j : j + step, None]) * np.uint64(0xDA942042E4DD58B5)
+        a = b = v.argmin(axis=1)
+        if len(key) > 1:
+            v[np.arange(len(v)), a] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            b = v.argmin(axis=1)
+        low[j : j + step], high[j : j + step] = np.minimum(a, b), np.maximum(a, b)
+    return mix(g[low] * np.uint64(0x9E3779B97F4A7C15) + (g[high] ^ np.arange(m, dtype=np.uint64) + np.uint64(1000 * (k - SHINGLE) % 2**32))).view(np.int64)
 
 
-def profile(h: np.ndarray) -> bytes:
-    """Counts of hashed words in ``BINS`` bins; a full bin only lowers the bound."""
-    counts = np.bincount((mix(h) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+def width(n: int) -> int:
+    """Bytes of the profile of n words: a power of two, four to eight bits a word."""
+    return max(8, 1 << (max(n, 1) * 4 - 1).bit_length() >> 3)
 
 
-def samples(h: np.ndarray) -> np.ndarray:
-    """Least occurrence-labelled shingles of two or four words under ``SAMPLES`` hash orders each (int64).
+def profile(h: np.ndarray) -> bytes:
+    """Bits of the occurrence-labelled words.
 
-    An edit breaks at most as many shingles as a shingle has words, so similar texts share many even if edits are spread
-    evenly. Texts of under ``SHORT`` words give runs of two, those of at least ``0.8 * SHORT`` runs of four: a similar
-    pair has one kind in common.
+    A bit that a text has and another lacks is a word that no alignment matches, so it costs an edit. Halves of a
+    profile, put over each other, are the profile of half the width.
     """
-    out = [np.zeros(0, dtype=np.uint64)]
-    for k, fits in ((2, len(h) < SHORT), (4, len(h) >= SIMILARITY * SHORT - 1)):
-        if not fits or len(h) < k:
-            continue
-        g = grams(h, k)
-        _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
-        order = np.argsort(inverse, kind="stable")
-        label = np.empty(len(g), dtype=np.uint64)
-        label[order] = (np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
-        key = mix(g + label * np.uint64(0xD1B54A32D192ED03))
-        least = np.array([((key ^ s) * np.uint64(0xDA942042E4DD58B5)).min() for s in _SEEDS[SKETCHES : SKETCHES + SAMPLES]])
-        out.append(mix(least + np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)))
-    return np.concatenate(out).view(np.int64)
+    size = width(len(h))
+    bits = np.zeros(size * 8, dtype=bool)
+    bits[(mix(h + occurrences(h) * np.uint64(0xD1B54A32D192ED03)) & np.uint64(size * 8 - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -150,7 +139,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
             found = text_words(t)  # of one text at a time: a batch of words would be many times its text
             h = hashes.of(found)
-            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, np.r_[sketch(h), samples(h)], profile(h)
+            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], profile(h)
 
     hashes = WordHash()
     for pdf in batches:
@@ -178,82 +167,95 @@ def allowed(n: int, similarity: float) -> int:
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """(id, n, sketch, profile) to (id, n, h, next, size): a row for each sketch that at least two members share."""
-    m = F.size("sketch")
-    rows = members.select("id", "n", F.explode(F.transform("sketch", lambda h, j: F.struct(h.alias("h"), F.element_at("sketch", (j + 1) % m + 1).alias("next")))).alias("s")).select("id", "n", "s.*")
-    groups = rows.groupBy(F.col("h").alias("gh")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(groups, F.col("h") == F.col("gh")).drop("gh")
-
-
-def candidates(shared: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows of buckets to a first set of distinct pairs (a, b), a < b, linear in the rows: each member with the member
-    that shares most in the table (the likely origin of copies), with the least id and with neighbours by length."""
-    one = F.struct("id", "n")
-    weight = shared.groupBy(F.col("id").alias("wid")).agg(F.sum("size").alias("weight"))
-    heavy = shared.join(weight, F.col("id") == F.col("wid"))
-    hubs = heavy.groupBy(F.col("h").alias("gh")).agg(F.min(one).alias("o0"), F.max_by(one, F.struct("weight", -F.col("id"))).alias("o1"))
-    dealt = shared.join(hubs, F.col("h") == F.col("gh")).withColumn("deal", F.when(F.col("size") > HOT, F.col("next")).otherwise(F.lit(0).cast("long")))
-    w = Window.partitionBy("h", "deal").orderBy("n", "id")
-    names = ["o0", "o1", *[f"l{k}" for k in range(1, NEIGHBOURS + 1)]]
-    near = dealt.select("id", "n", "o0", "o1", *[F.lag(one, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
-    pairs = near.select("id", "n", F.explode(F.array(*names)).alias("o")).where("o is not null and o.id <> id")
-    close = F.least("n", "o.n") >= F.greatest("n", "o.n") * similarity - 1e-6
-    return pairs.where(close).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+    """(id, n, sketch) to (id, n, h, o0, o1, size): a row for each sketch that at least two members share, with the
+    bucket's least and greatest id."""
+    rows = members.select("id", "n", F.explode("sketch").alias("h"))
+    w = Window.partitionBy("h")
+    return rows.withColumns({"size": F.count(F.lit(1)).over(w), "o0": F.min("id").over(w), "o1": F.max("id").over(w)}).where("size > 1")
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """Rows of buckets to a first set of distinct pairs (a, b), a < b, linear in the rows: each with least and greatest id."""
+    pairs = shared.select("id", F.explode(F.array("o0", "o1")).alias("o")).where("o <> id")
+    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
 def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every pair (a, b) of a bucket whose ends are of different classes so far and whose profiles allow the similarity.
 
-    No bucket is capped: one of more than ``HOT`` members is dealt into blocks, and every two blocks meet.
+    No bucket is capped. Members fall into classes of length, of which only equal or adjacent ones can be similar, and a
+    bucket of more than ``HOT`` members into blocks by hash; every two blocks of such lengths meet in a group of their own.
     """
     named = shared.select("id", "n", "h", "size").join(root, F.col("id") == F.col("node"), "left").select("id", "n", "h", "size", F.coalesce("root", "id").alias("root"))
     named = materialise(named)
-    open_ = named.groupBy(F.col("h").alias("gh")).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("gh")
-    rows = named.join(open_, F.col("h") == F.col("gh")).join(members.select(F.col("id").alias("pid"), "profile"), F.col("id") == F.col("pid"))
+    open_ = named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
+    open_ = named.join(open_, "h")
+    rows = salted_join(open_, members.select("id", "profile"), "id")
     parts = F.ceil(F.col("size") / HOT).cast("int")
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("h", F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t"), "x", "id", "n", "root", "profile")
-    dealt = rows.repartition("h", "s", "t").sortWithinPartitions("h", "s", "t")
+    length = F.when(parts > 1, F.floor(F.log("n") / -np.log(similarity) + 1e-9)).otherwise(F.lit(0)).cast("int") if similarity < 1 else F.col("n")
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("c", length)
+    every = F.sequence(F.lit(0), parts - 1)
+    same = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.least("x", y).alias("s"), F.greatest("x", y).alias("t"), (F.col("x") > y).alias("upper"), F.lit(False).alias("across")))
+    below = F.transform(every, lambda y: F.struct((F.col("c") - 1).alias("g"), y.alias("s"), F.col("x").alias("t"), F.lit(True).alias("upper"), F.lit(True).alias("across")))
+    above = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.col("x").alias("s"), y.alias("t"), F.lit(False).alias("upper"), F.lit(True).alias("across")))
+    meets = F.when(parts > 1, F.concat(same, below, above)).otherwise(same)
+    rows = rows.withColumn("m", F.explode(meets)).select("h", "m.*", "id", "n", "root", "profile")
+    key = ("h", "g", "s", "t", "across")
+    dealt = rows.repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInPandas(lambda it: _crossed(it, similarity), "a long, b long").distinct()
 
 
 def _crossed(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Pairs within each (h, s, t), of the blocks s and t; a group may go on in the next batch."""
-    held = None
+    """Pairs within each (h, g, s, t, across), of two blocks; a group may go on in the next batch."""
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        key = held[["h", "s", "t"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        yield _pairs(held.iloc[: starts[-1]], starts, similarity)
-        held = held.iloc[starts[-1] :].reset_index(drop=True)
-    if held is not None:
-        yield _pairs(held, np.array([0, len(held)]), similarity)
-
-
-def _pairs(rows: pd.DataFrame, starts: np.ndarray, similarity: float) -> pd.DataFrame:
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    if len(rows):
-        ids, n, root, x, s, t = (rows[c].to_numpy() for c in ("id", "n", "root", "x", "s", "t"))
-        profiles = np.frombuffer(b"".join(rows["profile"]), dtype=np.uint16).reshape(len(rows), BINS).astype(np.int32)
-        most = np.floor(n * (1 - similarity) + 1e-9)
+        key = pdf[["h", "g", "s", "t", "across"]].to_numpy(dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
+        if held and (held[-1][["h", "g", "s", "t", "across"]].to_numpy(dtype=np.int64)[-1] != key[0]).any():
+            yield from _group(pd.concat(held, ignore_index=True), similarity)
+            held = []
         for at, end in zip(starts[:-1], starts[1:], strict=True):
-            if (root[at:end] == root[at]).all():
-                continue
-            for i in range(at, end):
-                if x[i] != s[i]:
-                    continue
-                j = np.arange(i + 1, end) if s[i] == t[i] else at + np.flatnonzero(x[at:end] == t[i])
-                j = j[root[j] != root[i]]
-                allowed_ = np.maximum(most[j], most[i])
-                ok = np.abs(n[j] - n[i]) <= allowed_
-                j, allowed_ = j[ok], allowed_[ok]
-                if len(j):
-                    d = profiles[j] - profiles[i]
-                    up = np.maximum(d, 0).sum(axis=1)
-                    j = j[np.maximum(up, up - d.sum(axis=1)) <= allowed_]
-                    left.append(np.minimum(ids[j], ids[i]))
-                    right.append(np.maximum(ids[j], ids[i]))
-    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+            yield from _group(pd.concat([*held, pdf.iloc[at:end]], ignore_index=True), similarity)
+            held = []
+        held.append(pdf.iloc[starts[-1] :])
+    if held:
+        yield from _group(pd.concat(held, ignore_index=True), similarity)
+
+
+def _group(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs of one block with itself (s = t, not across) or of a lower with an upper one."""
+    if (rows["root"] == rows["root"].iat[0]).all():
+        return
+    first = rows.iloc[0]
+    whole = not first["across"] and first["s"] == first["t"]
+    rows = rows.sort_values("n", kind="stable")
+    n, ids, root, upper = (rows[c].to_numpy() for c in ("n", "id", "root", "upper"))
+    profiles = rows["profile"].tolist()
+    size = np.array([len(p) for p in profiles])
+    most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
+    reach = np.searchsorted(n - most, n, side="right")  # texts of i + 1 .. reach[i] are short enough for i
+    for w in np.unique(size).tolist():
+        lo, hi = np.searchsorted(size, w), np.searchsorted(size, w, side="right")
+        end = int(reach[hi - 1])
+        bits = np.empty((end - lo, w // 8), dtype=np.uint64)  # at this width, longer ones folded
+        for k in range(lo, end):
+            bits[k - lo] = folded(profiles[k], w)
+        for i in range(lo, hi):
+            j = np.arange(i + 1, reach[i])
+            j = j[(root[j] != root[i]) & (whole | (upper[j] != upper[i]))]
+            for k in range(0, len(j), max(1, CHUNK // w)):
+                some = j[k : k + max(1, CHUNK // w)]
+                other, own = bits[some - lo], bits[i - lo]
+                ok = np.bitwise_count(other & ~own).sum(axis=1) <= most[some]
+                ok &= np.bitwise_count(own & ~other).sum(axis=1) <= most[some]
+                some = some[ok]
+                if len(some):
+                    yield pd.DataFrame({"a": np.minimum(ids[some], ids[i]), "b": np.maximum(ids[some], ids[i])})
+
+
+def folded(own: bytes, size: int) -> np.ndarray:
+    """A profile of at least ``size`` bytes as words of one of ``size`` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(own, dtype=np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -261,14 +263,14 @@ def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = may_hold(df.where("id is not null"), "id", ends).join(ends, "id", "left_semi")
     vecs = materialise(some.dropDuplicates(["id"]).mapInPandas(_vectors, "id long, vec array<int>"))
-    both = pairs.join(vecs.toDF("a", "va"), "a").join(vecs.toDF("b", "vb"), "b")
-    return materialise(both.mapInPandas(lambda it: _aligned(it, similarity), "a long, b long"))
+    both = salted_join(salted_join(pairs, vecs.toDF("a", "va"), "a"), vecs.toDF("b", "vb"), "b")
+    return materialise(both.select("a", "b", "va", "vb").mapInPandas(lambda it: _aligned(it, similarity), "a long, b long"))
 
 
 def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) that connect all members of which some bucket holds both and whose texts align; df has (id, text)."""
     shared = materialise(buckets(members))
-    first = materialise(candidates(shared, similarity))
+    first = materialise(candidates(shared))
     root = components(verified(df, first, similarity).toDF("u", "v"))
     rest = materialise(remaining(shared, members, root, similarity).join(first, ["a", "b"], "left_anti"))
     return root.toDF("u", "v").unionByName(verified(df, rest, similarity).toDF("u", "v"))
@@ -280,12 +282,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary"))
     known = rows.where("id is not null and digest is not null")
-    members = materialise(known.groupBy("digest").agg(F.min(F.struct("id", "n", "sketch", "profile")).alias("x")).select("digest", "x.*"))
-    found = links(df, members.select("id", "n", "sketch", "profile"), similarity)
-    root = components(found)
-    named = members.select("digest", "id").join(root, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("root"))
-    ids = rows.select("id", "digest").join(named, "digest", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("class_id"))
-    ids = materialise(ids)
-    sizes = ids.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = ids.join(sizes, "class_id", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    one = F.min(F.struct("id", "n", "sketch", "profile")).alias("x")
+    members = materialise(known.groupBy("digest").agg(one, F.count(F.lit(1)).alias("size")).select("digest", "size", "x.*"))
+    root = components(links(df, members.select("id", "n", "sketch", "profile"), similarity))
+    named = members.select("digest", "id", "size").join(root, F.col("id") == F.col("node"), "left").select("digest", "size", F.coalesce("root", "id").alias("class_id"))
+    alone = rows.where("id is not null and digest is null").select("id", F.col("id").alias("class_id"))
+    ids = materialise(join_back(known.select("id", "digest"), named, "digest", known.count()).select("id", "class_id").unionByName(alone))
+    sizes = ids.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    out = join_back(ids, sizes, "class_id", ids.count()).select("id", "class_id", F.col("size").alias("class_size"), (F.col("id") == F.col("class_id")).alias("kept"))
+    none = rows.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return out.unionByName(none).withColumnRenamed("id", id_col)

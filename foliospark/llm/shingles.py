@@ -46,6 +46,17 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def occurrences(g: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    count = np.zeros(len(g), dtype=np.uint64)
+    order = np.argsort(g, kind="stable")
+    same = np.r_[False, g[order][1:] == g[order][:-1]]
+    if same.any():
+        at = np.arange(len(g))
+        count[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
+    return count
+
+
 def may_hold(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """df without most rows whose id is not in ids (one column); never drops a row whose id is."""
     return df.where(maybe_in(df, id_col, ids))
@@ -102,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star, each a grouped minimum and a join, until no link changes; the links live in
     written tables, never on the driver. A hub's minimum is summed up before it is shuffled.
     """
-    from .common import materialise
+    from .common import join_back, materialise
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -111,10 +122,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(cur)
     while before[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("w")).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("size"))
+        large = join_back(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
+        small = join_back(large, low, "u", 2 * before[0]).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         cur = materialise(small.where("u <> v").distinct())
         after = state(cur)
         if after == before:
