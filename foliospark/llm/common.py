@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let  # noqa: F401
 from ..runtime import materialise  # noqa: F401
 
 #: Words are maximal runs of characters other than space, \t, \n, \v, \f and \r.
@@ -16,14 +17,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once per row, however often body mentions it.
-
-    A lambda variable is never inlined by the optimiser, unlike a column of a lower projection.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 

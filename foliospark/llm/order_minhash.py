@@ -6,12 +6,12 @@ the same order, so agreement follows edit similarity, not just set overlap. Text
 sketches (a bucket) are candidates; a candidate pair is linked if an alignment in a band finds at most
 ``1 - similarity`` edits a word.
 
-All pairs of a bucket are candidates, at every size of bucket. First each member meets the bucket's least and greatest
-id (linear in the bucket), which joins most copies into classes. Then the pairs of different classes are compared by
-bounds that never rule out a similar pair: word counts, and bits of the words that one text has and the other lacks.
-That work grows with the square of a bucket of unlike texts, as word operations on bits; members are dealt into blocks
-by length and hash, so a task holds at most two blocks, and only pairs within the bounds are written. Equal word
-sequences are one member from the start, so copies make no pairs at all.
+All pairs of a bucket are candidates, at every size of bucket. First each member meets the two that most often are the
+least and the greatest id of its buckets (linear in the members), which joins most copies into classes. Then the pairs of
+different classes are compared by bounds that never rule out a similar pair: word counts, and how many words one text has
+that the other lacks. That work grows with the square of a bucket of unlike texts, as operations on bits; members are
+dealt into blocks by length and hash, so a task holds at most two blocks, and only pairs within the bounds are written.
+Equal word sequences are one member from the start, so copies make no pairs at all.
 
 Defined results: a text without words (null, empty) is a class by itself; fewer than five words make one shingle; rows
 with a null id have a null class; rows that repeat an id are one document; an empty table gives an empty table; extra
@@ -22,6 +22,7 @@ the links, named by their least id, found in tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,15 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import join_back, materialise, salted_join
-from .shingles import WordHash, components, grams, may_hold, mix, occurrences
+from .shingles import WordHash, components, grams, may_hold, maybe_in, mix, occurrences
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 16
 #: Further sketches, of shorter shingles: edits spread evenly at the similarity leave no run of five words whole.
 SHORT, SHORT_SKETCHES = 3, 96
+#: Members that each member meets first.
+HUBS = 3
 #: Members of a block, when all pairs of a bucket are compared; no pair depends on it.
-HOT = 4096
+HOT = 2048
 #: Elements of one numpy operation while a text is sketched or a block compared.
 CHUNK = 1 << 20
 _GAPS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -47,13 +50,18 @@ def text_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_GAPS).split()
 
 
+@functools.cache
+def _seeds(k: int, m: int) -> np.ndarray:
+    return mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * (k - SHINGLE)))
+
+
 def sketch(h: np.ndarray, k: int = SHINGLE, m: int = SKETCHES) -> np.ndarray:
     """m order-min-hash values (int64) of hashed words; none for no words."""
     if not len(h):
         return np.zeros(0, dtype=np.int64)
     g = grams(h, min(k, len(h)))
     key = mix(g + occurrences(g) * np.uint64(0xD1B54A32D192ED03))
-    seeds = mix(np.arange(1, m + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * (k - SHINGLE)))
+    seeds = _seeds(k, m)
     low, high = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
     step = max(1, CHUNK // len(key))
     for j in range(0, m, step):
@@ -66,21 +74,15 @@ def sketch(h: np.ndarray, k: int = SHINGLE, m: int = SKETCHES) -> np.ndarray:
     return mix(g[low] * np.uint64(0x9E3779B97F4A7C15) + (g[high] ^ np.arange(m, dtype=np.uint64) + np.uint64(1000 * (k - SHINGLE) % 2**32))).view(np.int64)
 
 
-def width(n: int) -> int:
-    """Bytes of the profile of n words: a power of two, four to eight bits a word."""
-    return max(8, 1 << (max(n, 1) * 4 - 1).bit_length() >> 3)
-
-
 def profile(h: np.ndarray) -> bytes:
-    """Bits of the occurrence-labelled words.
+    """16 bits of each occurrence-labelled word, in order.
 
-    A bit that a text has and another lacks is a word that no alignment matches, so it costs an edit. Halves of a
-    profile, put over each other, are the profile of half the width.
+    A word that no alignment matches costs an edit; equal bits of different words only lower that bound.
     """
-    size = width(len(h))
-    bits = np.zeros(size * 8, dtype=bool)
-    bits[(mix(h + occurrences(h) * np.uint64(0xD1B54A32D192ED03)) & np.uint64(size * 8 - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+    h = np.sort(h)
+    at = np.arange(len(h))
+    label = at - np.maximum.accumulate(np.where(np.r_[False, h[1:] == h[:-1]], 0, at)) if len(h) else at
+    return np.sort((mix(h + label.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(48)).astype(np.uint16)).tobytes()
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -167,17 +169,21 @@ def allowed(n: int, similarity: float) -> int:
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """(id, n, sketch) to (id, n, h, o0, o1, size): a row for each sketch that at least two members share, with the
-    bucket's least and greatest id."""
-    rows = members.select("id", "n", F.explode("sketch").alias("h"))
-    w = Window.partitionBy("h")
-    return rows.withColumns({"size": F.count(F.lit(1)).over(w), "o0": F.min("id").over(w), "o1": F.max("id").over(w)}).where("size > 1")
+    """(id, sketch) to (id, h, size): a row for each sketch that at least two members share."""
+    rows = members.select("id", F.explode("sketch").alias("h"))
+    return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("size > 1")
 
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """Rows of buckets to a first set of distinct pairs (a, b), a < b, linear in the rows: each with least and greatest id."""
-    pairs = shared.select("id", F.explode(F.array("o0", "o1")).alias("o")).where("o <> id")
-    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+def candidates(shared: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """Rows of buckets to a first set of distinct pairs (a, b), a < b: each member with the ``hubs`` members that most
+    often lead its buckets. A bucket's leader is the member with most company in all its own: the likely origin of copies.
+    """
+    company = shared.withColumn("company", F.sum("size").over(Window.partitionBy("id")))
+    led = company.withColumn("o", -F.max(F.struct("company", (-F.col("id")).alias("o"))).over(Window.partitionBy("h"))["o"]).where("o <> id")
+    often = led.groupBy("id", "o").agg(F.count(F.lit(1)).alias("times"))
+    first = Window.partitionBy("id").orderBy(F.col("times").desc(), "o")
+    chosen = often.withColumn("k", F.row_number().over(first)).where(F.col("k") <= hubs)
+    return chosen.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
 def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -186,76 +192,103 @@ def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity
     No bucket is capped. Members fall into classes of length, of which only equal or adjacent ones can be similar, and a
     bucket of more than ``HOT`` members into blocks by hash; every two blocks of such lengths meet in a group of their own.
     """
-    named = shared.select("id", "n", "h", "size").join(root, F.col("id") == F.col("node"), "left").select("id", "n", "h", "size", F.coalesce("root", "id").alias("root"))
+    named = shared.select("id", "h", "size").join(root, F.col("id") == F.col("node"), "left").select("id", "h", "size", F.coalesce("root", "id").alias("root"))
     named = materialise(named)
     open_ = named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     open_ = named.join(open_, "h")
-    rows = salted_join(open_, members.select("id", "profile"), "id")
-    parts = F.ceil(F.col("size") / HOT).cast("int")
-    length = F.when(parts > 1, F.floor(F.log("n") / -np.log(similarity) + 1e-9)).otherwise(F.lit(0)).cast("int") if similarity < 1 else F.col("n")
+    rows = salted_join(open_, members.select("id", "n", "profile"), "id")
+    blocks = F.ceil(F.col("size") / HOT).cast("int")
+    by_length = (blocks > 8) & F.lit(similarity < 1)  # else three times the rows would not pay
+    parts = F.when(by_length, F.ceil(blocks / 2).cast("int")).otherwise(blocks)
+    length = F.when(by_length, F.floor(F.log("n") / -np.log(min(similarity, 0.99)) + 1e-9)).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("c", length)
     every = F.sequence(F.lit(0), parts - 1)
     same = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.least("x", y).alias("s"), F.greatest("x", y).alias("t"), (F.col("x") > y).alias("upper"), F.lit(False).alias("across")))
     below = F.transform(every, lambda y: F.struct((F.col("c") - 1).alias("g"), y.alias("s"), F.col("x").alias("t"), F.lit(True).alias("upper"), F.lit(True).alias("across")))
     above = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.col("x").alias("s"), y.alias("t"), F.lit(False).alias("upper"), F.lit(True).alias("across")))
-    meets = F.when(parts > 1, F.concat(same, below, above)).otherwise(same)
+    meets = F.when(by_length, F.concat(same, below, above)).otherwise(same)
     rows = rows.withColumn("m", F.explode(meets)).select("h", "m.*", "id", "n", "root", "profile")
     key = ("h", "g", "s", "t", "across")
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInPandas(lambda it: _crossed(it, similarity), "a long, b long").distinct()
 
 
+_GROUP = ("h", "g", "s", "t", "across")
+
+
 def _crossed(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     """Pairs within each (h, g, s, t, across), of two blocks; a group may go on in the next batch."""
     held: list[pd.DataFrame] = []
+    scratch = np.zeros(1 << 16, dtype=bool)
     for pdf in batches:
-        key = pdf[["h", "g", "s", "t", "across"]].to_numpy(dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
-        if held and (held[-1][["h", "g", "s", "t", "across"]].to_numpy(dtype=np.int64)[-1] != key[0]).any():
-            yield from _group(pd.concat(held, ignore_index=True), similarity)
+        key = pdf[list(_GROUP)].to_numpy(dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        found: list[tuple] = []
+        if held and (held[-1][list(_GROUP)].to_numpy(dtype=np.int64)[-1] != key[0]).any():
+            found += _groups(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64), similarity, scratch)
             held = []
-        for at, end in zip(starts[:-1], starts[1:], strict=True):
-            yield from _group(pd.concat([*held, pdf.iloc[at:end]], ignore_index=True), similarity)
+        if len(starts) > 1:  # the last group waits
+            whole = pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
+            starts_ = np.r_[0, starts[1:-1] + sum(map(len, held))]
+            found += _groups(whole, starts_, similarity, scratch)
             held = []
         held.append(pdf.iloc[starts[-1] :])
+        yield _frame(found)
     if held:
-        yield from _group(pd.concat(held, ignore_index=True), similarity)
-
-
-def _group(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
-    """Pairs of one block with itself (s = t, not across) or of a lower with an upper one."""
-    if (rows["root"] == rows["root"].iat[0]).all():
-        return
-    first = rows.iloc[0]
-    whole = not first["across"] and first["s"] == first["t"]
-    rows = rows.sort_values("n", kind="stable")
-    n, ids, root, upper = (rows[c].to_numpy() for c in ("n", "id", "root", "upper"))
-    profiles = rows["profile"].tolist()
-    size = np.array([len(p) for p in profiles])
+        yield _frame(_groups(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64), similarity, scratch))
+
+
+def _frame(found: list[tuple]) -> pd.DataFrame:
+    a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *(x[k] for x in found)]) for k in range(2))
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _groups(rows: pd.DataFrame, starts: np.ndarray, similarity: float, scratch: np.ndarray) -> list[tuple]:
+    """Pairs (arrays of ids) of the groups of rows that begin at starts."""
+    n, ids, root, upper, across, s, t = (rows[c].to_numpy() for c in ("n", "id", "root", "upper", "across", "s", "t"))
+    profiles, found = rows["profile"].to_numpy(), []
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        if (root[at:end] != root[at]).any():
+            o = at + np.argsort(n[at:end], kind="stable")
+            side = None if s[at] == t[at] and not across[at] else upper[o]
+            own = [np.frombuffer(p, dtype=np.uint16) for p in profiles[o]]
+            found += _pairs(n[o].astype(np.int64), ids[o], root[o], side, own, similarity, scratch)
+    return found
+
+
+def _pairs(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray | None, own: list, similarity: float, scratch: np.ndarray) -> list[tuple]:
+    """Pairs of one block (side is None) or of a lower with an upper one; texts in order of their length."""
+    found = []
     most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
     reach = np.searchsorted(n - most, n, side="right")  # texts of i + 1 .. reach[i] are short enough for i
-    for w in np.unique(size).tolist():
-        lo, hi = np.searchsorted(size, w), np.searchsorted(size, w, side="right")
-        end = int(reach[hi - 1])
-        bits = np.empty((end - lo, w // 8), dtype=np.uint64)  # at this width, longer ones folded
-        for k in range(lo, end):
-            bits[k - lo] = folded(profiles[k], w)
+    few = len(n) < 32  # bits would not pay
+    level = np.minimum(np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64) + 2, 16)  # 4 to 8 bits a word
+    for v in np.unique(level).tolist():
+        lo, hi = np.searchsorted(level, v), np.searchsorted(level, v, side="right")
+        bits = None if few else np.stack([_bits(p, v) for p in own[lo : int(reach[hi - 1])]])
+        total = None if few else np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         for i in range(lo, hi):
             j = np.arange(i + 1, reach[i])
-            j = j[(root[j] != root[i]) & (whole | (upper[j] != upper[i]))]
-            for k in range(0, len(j), max(1, CHUNK // w)):
-                some = j[k : k + max(1, CHUNK // w)]
-                other, own = bits[some - lo], bits[i - lo]
-                ok = np.bitwise_count(other & ~own).sum(axis=1) <= most[some]
-                ok &= np.bitwise_count(own & ~other).sum(axis=1) <= most[some]
-                some = some[ok]
-                if len(some):
-                    yield pd.DataFrame({"a": np.minimum(ids[some], ids[i]), "b": np.maximum(ids[some], ids[i])})
-
-
-def folded(own: bytes, size: int) -> np.ndarray:
-    """A profile of at least ``size`` bytes as words of one of ``size`` bytes."""
-    return np.bitwise_or.reduce(np.frombuffer(own, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+            j = j[root[j] != root[i]]
+            if side is not None:
+                j = j[side[j] != side[i]]
+            if bits is not None and len(j):
+                both = [np.bitwise_count(bits[k - lo] & bits[i - lo]).sum(axis=1, dtype=np.int64) for k in np.array_split(j, 1 + len(j) * bits.shape[1] // CHUNK)]
+                j = j[np.maximum(total[j - lo], total[i - lo]) - np.concatenate(both) <= most[j]]  # bits that one has and the other lacks
+            if len(j):
+                scratch[own[i]] = True
+                j = j[[n[k] - np.count_nonzero(scratch[own[k]]) <= most[k] for k in j.tolist()]]
+                scratch[own[i]] = False
+            if len(j):
+                found.append((np.full(len(j), ids[i]), ids[j]))
+    return found
+
+
+def _bits(own: np.ndarray, v: int) -> np.ndarray:
+    """A profile as 2**v bits, in words of 64."""
+    on = np.zeros(1 << v, dtype=bool)
+    on[own >> np.uint16(16 - v)] = True
+    return np.packbits(on).view(np.uint64)
 
 
 def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -276,16 +309,29 @@ def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) ->
     return root.toDF("u", "v").unionByName(verified(df, rest, similarity).toDF("u", "v"))
 
 
+def once(known: DataFrame, copies: DataFrame, again: DataFrame) -> DataFrame:
+    """(id, n, sketch, profile) of known without ids of copies, and one row for each id of again (of its least digest).
+
+    Few rows are shuffled: a filter of ids tells which can be concerned.
+    """
+    test = maybe_in(known, "id", materialise(copies.unionByName(again).distinct()))
+    names = ("n", "sketch", "profile")
+    some = known.where(test).join(copies, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*names), "digest").alias("x")).select("id", "x.*")
+    return known.where(~test).select("id", *names).unionByName(some)
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size, kept (it is that least id)."""
     ship(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary"))
     known = rows.where("id is not null and digest is not null")
-    one = F.min(F.struct("id", "n", "sketch", "profile")).alias("x")
-    members = materialise(known.groupBy("digest").agg(one, F.count(F.lit(1)).alias("size")).select("digest", "size", "x.*"))
+    texts = materialise(known.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")))
+    copies = join_back(known.select("id", "digest"), texts.withColumnRenamed("id", "least"), "digest", known.count()).where("id <> least").select("id").distinct()
+    again = known.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
+    members = once(known, materialise(copies), materialise(again))
     root = components(links(df, members.select("id", "n", "sketch", "profile"), similarity))
-    named = members.select("digest", "id", "size").join(root, F.col("id") == F.col("node"), "left").select("digest", "size", F.coalesce("root", "id").alias("class_id"))
+    named = texts.select("digest", "id", "size").join(root, F.col("id") == F.col("node"), "left").select("digest", "size", F.coalesce("root", "id").alias("class_id"))
     alone = rows.where("id is not null and digest is null").select("id", F.col("id").alias("class_id"))
     ids = materialise(join_back(known.select("id", "digest"), named, "digest", known.count()).select("id", "class_id").unionByName(alone))
     sizes = ids.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))

@@ -49,11 +49,13 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def occurrences(g: np.ndarray) -> np.ndarray:
     """How many equal values stand before each."""
     count = np.zeros(len(g), dtype=np.uint64)
+    in_order = np.sort(g)
+    if not (in_order[1:] == in_order[:-1]).any():
+        return count
     order = np.argsort(g, kind="stable")
     same = np.r_[False, g[order][1:] == g[order][:-1]]
-    if same.any():
-        at = np.arange(len(g))
-        count[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
+    at = np.arange(len(g))
+    count[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
     return count
 
 
