@@ -17,11 +17,11 @@ def post_process(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> D
     reshaped and fixed tell whether the block counts as reshaped Arabic and as changed.
     """
     out = blocks.withColumn("raw_text", F.col("text")).withColumn("text", X.clean(F.col("raw_text"), F.col("rtl_ratio")))
-    return out.withColumns({
-        "word_count": X.word_count(F.col("text")), "char_count": X.char_count(F.col("text")),
+    return out.withColumn("m__", X.measures(F.col("text"))).withColumns({
+        "word_count": F.col("m__.words"), "char_count": F.col("m__.chars"),
         "reshaped": F.col("rtl_ratio") > 0.3, "fixed": F.col("text") != F.col("raw_text"),
         "source_stage": F.lit(STAGES[-1]) if cfg.overwrite_stage else F.col("source_stage"),
-    }).drop("raw_text")
+    }).drop("raw_text", "m__")
 
 
 def page_columns(pages: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -36,3 +36,14 @@ def assign_columns(pages: DataFrame, blocks: DataFrame, columns: DataFrame) -> D
     context = pages.select(*PAGE, "width").join(columns, list(PAGE))
     joined = blocks.join(context, list(PAGE))
     return joined.withColumn("column", G.assign_column(F.col("bbox"), F.col("width"), F.col("columns"))).drop("width", "columns")
+
+
+def with_columns(blocks: DataFrame, frame: DataFrame) -> DataFrame:
+    """Blocks with columns and column, by one join with the pages' (width, height) and a window on the same key."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*PAGE)
+    at = blocks.join(frame.select(*PAGE, "width"), list(PAGE))
+    n = column_count(*[F.count_if(c).over(w) for c in thirds(F.col("bbox"), F.col("width"))])
+    at = at.withColumn("columns", n)
+    return at.withColumn("column", G.assign_column(F.col("bbox"), F.col("width"), F.col("columns"))).drop("width")

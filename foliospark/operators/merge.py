@@ -117,10 +117,22 @@ def fold(members: Column, edges: Column) -> Column:
     return F.aggregate(members, start, step)
 
 
-def deduplicate(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig(), order: tuple[str, ...] = ("stage_ord", "seq")) -> tuple[DataFrame, DataFrame]:
-    """Blocks that stay, with their place in the output (out_seq), and counters per page: one shuffle, by page."""
+def solve(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig(), order: tuple[str, ...] = ("stage_ord", "seq")) -> DataFrame:
+    """(doc_id, page_number, b, s): a page's blocks in order and what the fold decides; one shuffle, by page."""
     members = F.transform("b", lambda x, i: F.struct(i.alias("ord"), priority(x["source_stage"]).alias("prio")))
-    solved = page_edges(blocks, cfg, order).withColumn("members", members).select(*PAGE, "b", fold(F.col("members"), F.col("edges")).alias("s"))
-    kept = solved.select(*PAGE, F.posexplode(F.transform("s.kept", lambda k: F.get("b", k["ord"]))).alias("out_seq", "k")).select(*PAGE, "out_seq", "k.*")
-    counters = solved.select(*PAGE, F.size("b").alias("total_input_blocks"), F.col("s.removed").alias("duplicates_removed"), F.col("s.merged").alias("blocks_merged"))
-    return kept, counters
+    return page_edges(blocks, cfg, order).withColumn("members", members).select(*PAGE, "b", fold(F.col("members"), F.col("edges")).alias("s"))
+
+
+def kept(solved: DataFrame) -> DataFrame:
+    """Blocks that stay, with their place in the output (out_seq)."""
+    return solved.select(*PAGE, F.posexplode(F.transform("s.kept", lambda k: F.get("b", k["ord"]))).alias("out_seq", "k")).select(*PAGE, "out_seq", "k.*")
+
+
+def counters(solved: DataFrame) -> DataFrame:
+    return solved.select(*PAGE, F.size("b").alias("total_input_blocks"), F.col("s.removed").alias("duplicates_removed"), F.col("s.merged").alias("blocks_merged"))
+
+
+def deduplicate(blocks: DataFrame, cfg: PipelineConfig = PipelineConfig(), order: tuple[str, ...] = ("stage_ord", "seq")) -> tuple[DataFrame, DataFrame]:
+    """Blocks that stay and counters per page, as two plans: who needs both should write ``solve`` once, as a run does."""
+    solved = solve(blocks, cfg, order)
+    return kept(solved), counters(solved)

@@ -25,11 +25,15 @@ def as_map(counts: DataFrame, *grain: str) -> DataFrame:
     return counts.groupBy(*grain).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source_stage", "n")))).alias("stage_stats"))
 
 
-def page_summary(pages: DataFrame, blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """Per page: blocks, characters, total_confidence (mean, 0 without blocks), text_coverage (sum of areas, may pass 100)."""
+def page_summary(pages: DataFrame, blocks: DataFrame, images: DataFrame | None = None, columns: bool = False) -> DataFrame:
+    """Per page: blocks, characters, total_confidence (mean, 0 without blocks), text_coverage (sum of areas, may pass 100).
+
+    With columns, blocks have their page's columns; a page without blocks has 1.
+    """
     sums = blocks.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.sum("char_count").alias("n_chars"), F.avg("confidence").alias("mean"), F.sum(G.area(F.col("bbox"))).alias("covered")
-    )
+        F.count(F.lit(1)).alias("n_blocks"), F.sum("char_count").alias("n_chars"), F.avg("confidence").alias("mean"), F.sum(G.area(F.col("bbox"))).alias("covered"),
+        *([F.max("columns").alias("columns")] if columns else []),
+    )
     out = pages.select(*PAGE, "width", "height").join(sums, list(PAGE), "left")
     if images is not None:
         out = out.join(images.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_images")), list(PAGE), "left")
@@ -39,6 +43,7 @@ def page_summary(pages: DataFrame, blocks: DataFrame, images: DataFrame | None =
         (F.coalesce("n_images", F.lit(0)) if images is not None else F.lit(0)).cast("long").alias("n_images"),
         F.coalesce("mean", F.lit(0.0)).alias("total_confidence"),
         F.when(size > 0, F.coalesce("covered", F.lit(0.0)) / size * 100).otherwise(F.lit(0.0)).alias("text_coverage"),
+        *([F.coalesce("columns", F.lit(1)).alias("columns")] if columns else []),
     )
 
 
@@ -59,6 +64,23 @@ def cleaning_counters(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*PAGE).agg(F.count_if("reshaped").alias("arabic_blocks_reshaped"), F.count_if("fixed").alias("words_fixed"))
 
 
+def stage_counters(frame: DataFrame, blocks: DataFrame, asked: list[DataFrame], images: DataFrame | None = None) -> DataFrame:
+    """Per page, what the OCR stages asked for and got: blocks_processed and blocks_improved, grid_regions and
+    regions_with_text, images and images_with_text; 0 where a stage did not run.
+
+    blocks are those of all stages; asked has a row (page, counter) for each region asked for.
+    """
+    got = {"block_ocr": "blocks_improved", "grid_ocr": "regions_with_text", "image_ocr": "images_with_text"}
+    rows = blocks.where(F.col("source_stage").isin(*got)).select(*PAGE, F.create_map(*[F.lit(x) for k in got.items() for x in k])[F.col("source_stage")].alias("counter"))
+    for more in asked:
+        rows = rows.unionByName(more)
+    if images is not None:
+        rows = rows.unionByName(images.select(*PAGE, F.lit("images").alias("counter")))
+    names = ("blocks_processed", "blocks_improved", "grid_regions", "regions_with_text", "images", "images_with_text")
+    counts = rows.groupBy(*PAGE).agg(*[F.count_if(F.col("counter") == n).alias(n) for n in names])
+    return frame.select(*PAGE).join(counts, list(PAGE), "left").fillna(0, list(names))
+
+
 def structured_counts(blocks: DataFrame) -> DataFrame:
     is_text = F.col("type") == "text"
     return blocks.groupBy(*PAGE).agg(

@@ -31,10 +31,14 @@ def font_info(lines: Column) -> tuple[Column, Column]:
     return F.when(s.isNotNull(), F.coalesce(s["font"], F.lit(DEFAULT_FONT))), F.when(s.isNotNull(), F.coalesce(s["size"], F.lit(DEFAULT_SIZE)))
 
 
-def numbered(pages: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, page_number, width, height, seq, b): a page's kept raw blocks, numbered densely from 0."""
+def numbered(pages: DataFrame, keep: Callable[[Column], Column], outer: bool = False) -> DataFrame:
+    """(doc_id, page_number, width, height, seq, b): a page's kept raw blocks, numbered densely from 0.
+
+    With outer, a page that keeps none has one row, of null seq and b.
+    """
     shaped = F.transform("blocks", lambda b: F.struct(b.alias("raw"), X.block_text(b["lines"]).alias("text")))
-    return pages.select(*PAGE, "width", "height", F.posexplode(F.filter(shaped, keep)).alias("seq", "b"))
+    explode = F.posexplode_outer if outer else F.posexplode
+    return pages.select(*PAGE, "width", "height", explode(F.filter(shaped, keep)).alias("seq", "b"))
 
 
 def page_id(suffix: str, number: Column | None = None) -> Column:
@@ -42,21 +46,24 @@ def page_id(suffix: str, number: Column | None = None) -> Column:
     return F.format_string("p%d" + suffix, *args)
 
 
-def finish(df: DataFrame, stage: str, confidence: Column) -> DataFrame:
-    """Derives direction and counts from text and gives the columns of block rows."""
-    df = df.withColumns({"confidence": confidence, "rtl_ratio": X.rtl_ratio(F.col("text"))})
+def finish(df: DataFrame, stage: str, confidence: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Derives direction and counts from text and gives the columns of block rows; without a confidence the text is scored."""
+    df = df.withColumns({"m__": X.measures(F.col("text")), "rtl_ratio": X.rtl_ratio(F.col("text"))})
     return df.withColumns({
-        "direction": X.direction(F.col("rtl_ratio")), "word_count": X.word_count(F.col("text")), "char_count": X.char_count(F.col("text")),
-        "stage_ord": F.lit(STAGES.index(stage)), "source_stage": F.lit(stage),
-    }).select(*BLOCK)
+        "confidence": X.measured_confidence(F.col("m__")) if confidence is None else confidence, "direction": X.direction(F.col("rtl_ratio")),
+        "word_count": F.col("m__.words"), "char_count": F.col("m__.chars"), "stage_ord": F.lit(STAGES.index(stage)), "source_stage": F.lit(stage),
+    }).select(*BLOCK, *extra)
 
 
-def direct(pages: DataFrame) -> DataFrame:
-    """Stage 1: text blocks of at least two characters, scored by their text."""
-    rows = numbered(pages, lambda b: (b["raw"]["type"] == 0) & (F.length(b["text"]) >= 2))
+def direct(pages: DataFrame, outer: bool = False) -> DataFrame:
+    """Stage 1: text blocks of at least two characters, scored by their text.
+
+    With outer, rows have width and height too, and a page without blocks has one row, of null seq.
+    """
+    rows = numbered(pages, lambda b: (b["raw"]["type"] == 0) & (F.length(b["text"]) >= 2), outer)
     font, size = font_info(F.col("b.raw.lines"))
-    rows = rows.select(*PAGE, "seq", page_id("_b%d", F.col("seq")).alias("block_id"), F.col("b.raw.bbox").alias("bbox"), F.col("b.text").alias("text"), font.alias("font"), size.alias("size"))
-    return finish(rows, "direct", X.direct_confidence(F.col("text")))
+    rows = rows.select(*PAGE, "width", "height", "seq", page_id("_b%d", F.col("seq")).alias("block_id"), F.col("b.raw.bbox").alias("bbox"), F.col("b.text").alias("text"), font.alias("font"), size.alias("size"))
+    return finish(rows, "direct", extra=("width", "height") if outer else ())
 
 
 def needs_ocr(threshold: float = 0.3) -> Column:
@@ -234,8 +241,9 @@ def hybrid(pages: DataFrame, ocr: Ocr | None = None, threshold: float = 0.1) ->
 
     A null alt_text says that there is one parser only.
     """
-    second = F.coalesce("alt_text", "text")
-    rows = pages.select(*PAGE, "width", "height", "text", second.alias("alt"), X.validate_page_text(F.col("text"), threshold).alias("one"), X.validate_page_text(second, threshold).alias("two"))
+    rows = pages.select(*PAGE, "width", "height", "text", "alt_text", X.validate_page_text(F.col("text"), threshold).alias("one"))
+    two = F.when(F.col("alt_text").isNull(), F.col("one")).otherwise(X.validate_page_text(F.col("alt_text"), threshold))
+    rows = rows.select(*PAGE, "width", "height", "text", F.coalesce("alt_text", "text").alias("alt"), "one", F.when(F.col("one.valid"), F.col("one")).otherwise(two).alias("two"))
     rows = rows.select(
         *PAGE, "width", "height", F.coalesce(F.when(F.col("one.valid"), F.col("text")).otherwise(F.col("alt")), F.lit("")).alias("text"),
         F.when(F.col("one.valid"), F.col("one.confidence")).otherwise(F.col("two.confidence")).alias("confidence"),

@@ -35,32 +35,38 @@ class Results:
 def run(pages: DataFrame, engines: Engines, raw_images: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig(), image_folder: str | None = None) -> Results:
     """The seven stages. A stage that the mode leaves out is not in the plan.
 
-    Direct blocks, the blocks of all stages, and cleaned blocks are written once: later steps read them several times,
-    and no region is read by OCR twice.
+    Pages are read once: what the first stage writes has each page's size, whether it has blocks or not. The blocks of all
+    stages, merged pages and final blocks are written once too: later steps read them several times, and no region is
+    read by OCR twice.
     """
     on = cfg.stages
-    direct = materialise(stages.direct(pages))
-    found = [direct]
-    stats = stages.page_stats(pages, direct)
+    rows = materialise(stages.direct(pages, outer=True))
+    direct = rows.where("seq is not null").drop("width", "height")
+    frame = rows.where("coalesce(seq, 0) = 0").select(*PAGE, "width", "height")
+    found, asked = [direct], []
     if on.block_ocr:
         found.append(stages.block_ocr(direct, engines.block, cfg))
+        asked.append(direct.where(stages.needs_ocr(cfg.confidence_threshold)).select(*PAGE, F.lit("blocks_processed").alias("counter")))
     if on.full_page_ocr:
-        found.append(stages.full_page_ocr(stats, engines.page, cfg))
+        found.append(stages.full_page_ocr(stages.page_stats(frame, direct), engines.page, cfg))
     if on.grid_ocr:
-        found.append(stages.grid_ocr(stages.sparse_cells(pages, stages.union_stages(*found), cfg), engines.cell))
+        cells = stages.sparse_cells(frame, stages.union_stages(*found), cfg)
+        if len(found) > 1:
+            cells = materialise(cells)
+        found.append(stages.grid_ocr(cells, engines.cell))
+        asked.append(cells.select(*PAGE, F.lit("grid_regions").alias("counter")))
     images = None
     if on.image_ocr and raw_images is not None:
         images = materialise(stages.images(raw_images, engines.image, image_folder))
         found.append(stages.image_ocr(images))
     every = materialise(stages.union_stages(*found))
-    kept, merged = merge.deduplicate(every, cfg)
-    cleaned = materialise(cleaning.post_process(kept, cfg))
-    columns = cleaning.page_columns(pages, cleaned)
-    blocks = cleaning.assign_columns(pages, cleaned, columns)
-    page_rows = rollups.page_summary(pages, blocks, images).join(columns, list(PAGE))
-    counters = merged.join(rollups.cleaning_counters(cleaned), list(PAGE), "left").join(rollups.direct_counters(direct, cfg.confidence_threshold), list(PAGE), "left")
+    solved = materialise(merge.solve(every, cfg))
+    blocks = materialise(cleaning.with_columns(cleaning.post_process(merge.kept(solved), cfg), frame))
+    page_rows = rollups.page_summary(frame, blocks, images, columns=True)
+    counters = merge.counters(solved).join(rollups.cleaning_counters(blocks), list(PAGE), "left").join(rollups.direct_counters(direct, cfg.confidence_threshold), list(PAGE), "left")
+    counters = counters.join(rollups.stage_counters(frame, every, asked, images), list(PAGE), "left")
     metrics = rollups.stage_summary(every).join(counters, list(PAGE), "left")
-    return Results(blocks.drop("reshaped", "fixed"), images, page_rows, rollups.document_summary(page_rows), metrics)
+    return Results(blocks.drop("reshaped", "fixed", "columns"), images, page_rows, rollups.document_summary(page_rows), metrics)
 
 
 def run_structured(pages: DataFrame, ocr: Ocr | None = None, raw_images: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
