@@ -41,6 +41,8 @@ SHORT, SHORT_SKETCHES = 3, 96
 HUBS = 3
 #: Members of a block, when all pairs of a bucket are compared; no pair depends on it.
 HOT = 2048
+#: Members of a bucket from which on its rows carry exact profiles, and sketches too, to compare a pair only once.
+MANY, CROWD = 32, 256
 #: Elements of one numpy operation while a text is sketched or a block compared.
 CHUNK = 1 << 20
 _GAPS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -85,6 +87,25 @@ def profile(h: np.ndarray) -> bytes:
     return np.sort((mix(h + label.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(48)).astype(np.uint16)).tobytes()
 
 
+def outline(exact: bytes) -> bytes:
+    """A profile as bits, two to four a word; halves of it, put over each other, are the outline of half the width."""
+    own = np.frombuffer(exact, dtype=np.uint16)
+    on = np.zeros(min(1 << 16, max(64, 1 << (2 * max(len(own), 1) - 1).bit_length())), dtype=bool)
+    on[own & np.uint16(len(on) - 1)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many words that one text has and the other lacks, by their outlines."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(b) * 8
+    while size > len(a) * 8:
+        size //= 2
+        y = (y >> size) | (y & ((1 << size) - 1))
+    return max(x.bit_count(), y.bit_count()) - (x & y).bit_count()
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
 
@@ -141,11 +162,12 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
             found = text_words(t)  # of one text at a time: a batch of words would be many times its text
             h = hashes.of(found)
-            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], profile(h)
+            exact = profile(h)
+            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], exact, outline(exact)
 
     hashes = WordHash()
     for pdf in batches:
-        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "profile"])
+        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "profile", "outline"])
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +218,10 @@ def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity
     named = materialise(named)
     open_ = named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     open_ = named.join(open_, "h")
-    rows = salted_join(open_, members.select("id", "n", "profile"), "id")
+    rows = salted_join(open_, members.select("id", "n", "sketch", "profile", "outline"), "id")
+    rows = rows.withColumns({
+        "sketch": F.when(F.col("size") > CROWD, F.col("sketch")), "profile": F.when(F.col("size") > MANY, F.col("profile")).otherwise(F.col("outline")),
+    })
     blocks = F.ceil(F.col("size") / HOT).cast("int")
     by_length = (blocks > 8) & F.lit(similarity < 1)  # else three times the rows would not pay
     parts = F.when(by_length, F.ceil(blocks / 2).cast("int")).otherwise(blocks)
@@ -207,7 +232,7 @@ def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity
     below = F.transform(every, lambda y: F.struct((F.col("c") - 1).alias("g"), y.alias("s"), F.col("x").alias("t"), F.lit(True).alias("upper"), F.lit(True).alias("across")))
     above = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.col("x").alias("s"), y.alias("t"), F.lit(False).alias("upper"), F.lit(True).alias("across")))
     meets = F.when(by_length, F.concat(same, below, above)).otherwise(same)
-    rows = rows.withColumn("m", F.explode(meets)).select("h", "m.*", "id", "n", "root", "profile")
+    rows = rows.withColumn("m", F.explode(meets)).select("h", "m.*", "id", "n", "root", "size", "sketch", "profile")
     key = ("h", "g", "s", "t", "across")
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInPandas(lambda it: _crossed(it, similarity), "a long, b long").distinct()
@@ -245,34 +270,57 @@ def _frame(found: list[tuple]) -> pd.DataFrame:
 
 def _groups(rows: pd.DataFrame, starts: np.ndarray, similarity: float, scratch: np.ndarray) -> list[tuple]:
     """Pairs (arrays of ids) of the groups of rows that begin at starts."""
-    n, ids, root, upper, across, s, t = (rows[c].to_numpy() for c in ("n", "id", "root", "upper", "across", "s", "t"))
-    profiles, found = rows["profile"].to_numpy(), []
+    h, n, ids, root, upper, across, s, t, size = (rows[c].to_numpy() for c in ("h", "n", "id", "root", "upper", "across", "s", "t", "size"))
+    profiles, sketches, found = rows["profile"].to_numpy(), rows["sketch"].to_numpy(), []
     for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
         if (root[at:end] != root[at]).any():
             o = at + np.argsort(n[at:end], kind="stable")
+            if size[at] <= MANY:
+                found += _few_pairs(n[o].tolist(), ids[o].tolist(), root[o].tolist(), profiles[o].tolist(), similarity)
+                continue
             side = None if s[at] == t[at] and not across[at] else upper[o]
             own = [np.frombuffer(p, dtype=np.uint16) for p in profiles[o]]
-            found += _pairs(n[o].astype(np.int64), ids[o], root[o], side, own, similarity, scratch)
+            sk = np.stack(sketches[o]) if size[at] > CROWD else None
+            found += _pairs(n[o].astype(np.int64), ids[o], root[o], side, own, sk, h[at], similarity, scratch)
     return found
 
 
-def _pairs(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray | None, own: list, similarity: float, scratch: np.ndarray) -> list[tuple]:
-    """Pairs of one block (side is None) or of a lower with an upper one; texts in order of their length."""
+def _few_pairs(n: list, ids: list, root: list, outlines: list, similarity: float) -> list[tuple]:
+    """Pairs of one small bucket, by outlines; texts in order of their length."""
+    left, right = [], []
+    for j in range(1, len(n)):
+        most = allowed(n[j], similarity)
+        for i in range(j - 1, -1, -1):
+            if n[i] < n[j] - most:
+                break
+            if root[i] != root[j] and apart(outlines[i], outlines[j]) <= most:
+                left.append(ids[i])
+                right.append(ids[j])
+    return [(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))] if left else []
+
+
+def _pairs(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray | None, own: list, sk: np.ndarray | None, h: int, similarity: float, scratch: np.ndarray) -> list[tuple]:
+    """Pairs of one block (side is None) or of a lower with an upper one; texts in order of their length.
+
+    With sketches, a pair counts in the first of the buckets that it shares only.
+    """
     found = []
     most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
     reach = np.searchsorted(n - most, n, side="right")  # texts of i + 1 .. reach[i] are short enough for i
-    few = len(n) < 32  # bits would not pay
     level = np.minimum(np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64) + 2, 16)  # 4 to 8 bits a word
     for v in np.unique(level).tolist():
         lo, hi = np.searchsorted(level, v), np.searchsorted(level, v, side="right")
-        bits = None if few else np.stack([_bits(p, v) for p in own[lo : int(reach[hi - 1])]])
-        total = None if few else np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        bits = np.stack([_bits(p, v) for p in own[lo : int(reach[hi - 1])]])
+        total = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         for i in range(lo, hi):
             j = np.arange(i + 1, reach[i])
             j = j[root[j] != root[i]]
             if side is not None:
                 j = j[side[j] != side[i]]
-            if bits is not None and len(j):
+            if sk is not None and len(j):
+                first = [(sk[k] == sk[i]).argmax(axis=1) for k in np.array_split(j, 1 + len(j) * sk.shape[1] // CHUNK)]
+                j = j[sk[i][np.concatenate(first)] == h]
+            if len(j):
                 both = [np.bitwise_count(bits[k - lo] & bits[i - lo]).sum(axis=1, dtype=np.int64) for k in np.array_split(j, 1 + len(j) * bits.shape[1] // CHUNK)]
                 j = j[np.maximum(total[j - lo], total[i - lo]) - np.concatenate(both) <= most[j]]  # bits that one has and the other lacks
             if len(j):
@@ -291,6 +339,20 @@ def _bits(own: np.ndarray, v: int) -> np.ndarray:
     return np.packbits(on).view(np.uint64)
 
 
+def possible(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) that word counts and outlines allow."""
+    side = lambda c: members.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("outline").alias(f"o{c}"))
+    both = salted_join(salted_join(pairs, side("a"), "a"), side("b"), "b")
+    near = both.where(F.greatest("na", "nb") - F.least("na", "nb") <= F.greatest("na", "nb") * (1 - similarity) + 1e-6)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [apart(x, y) <= allowed(max(m, n), similarity) for x, y, m, n in zip(pdf["oa"], pdf["ob"], pdf["na"], pdf["nb"], strict=True)]
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return near.mapInPandas(run, "a long, b long")
+
+
 def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose texts align; df has (id, text)."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -303,19 +365,19 @@ def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
 def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) that connect all members of which some bucket holds both and whose texts align; df has (id, text)."""
     shared = materialise(buckets(members))
-    first = materialise(candidates(shared))
+    first = materialise(possible(materialise(candidates(shared)), members, similarity))
     root = components(verified(df, first, similarity).toDF("u", "v"))
     rest = materialise(remaining(shared, members, root, similarity).join(first, ["a", "b"], "left_anti"))
     return root.toDF("u", "v").unionByName(verified(df, rest, similarity).toDF("u", "v"))
 
 
 def once(known: DataFrame, copies: DataFrame, again: DataFrame) -> DataFrame:
-    """(id, n, sketch, profile) of known without ids of copies, and one row for each id of again (of its least digest).
+    """(id, n, sketch, profile, outline) of known without ids of copies, and one row for each id of again (of its least digest).
 
     Few rows are shuffled: a filter of ids tells which can be concerned.
     """
     test = maybe_in(known, "id", materialise(copies.unionByName(again).distinct()))
-    names = ("n", "sketch", "profile")
+    names = ("n", "sketch", "profile", "outline")
     some = known.where(test).join(copies, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*names), "digest").alias("x")).select("id", "x.*")
     return known.where(~test).select("id", *names).unionByName(some)
 
@@ -324,13 +386,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     """One row per input row: id, class_id (least id of its class), class_size, kept (it is that least id)."""
     ship(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary"))
+    rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary, outline binary"))
     known = rows.where("id is not null and digest is not null")
     texts = materialise(known.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")))
     copies = join_back(known.select("id", "digest"), texts.withColumnRenamed("id", "least"), "digest", known.count()).where("id <> least").select("id").distinct()
     again = known.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
     members = once(known, materialise(copies), materialise(again))
-    root = components(links(df, members.select("id", "n", "sketch", "profile"), similarity))
+    root = components(links(df, members, similarity))
     named = texts.select("digest", "id", "size").join(root, F.col("id") == F.col("node"), "left").select("digest", "size", F.coalesce("root", "id").alias("class_id"))
     alone = rows.where("id is not null and digest is null").select("id", F.col("id").alias("class_id"))
     ids = materialise(join_back(known.select("id", "digest"), named, "digest", known.count()).select("id", "class_id").unionByName(alone))
