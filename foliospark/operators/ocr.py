@@ -24,12 +24,20 @@ class OcrEngine(Protocol):
 
 
 class TesseractEngine:
-    """Optional: needs pytesseract and pdf2image. One raster per page serves all regions of it."""
+    """Optional: needs pytesseract and pdf2image. One raster per page serves all regions of it.
 
-    def __init__(self, lang: str = "ara+eng"):
+    Images are prepared by ``method`` of raster.preprocess first.
+    """
+
+    method: str | None = "pipeline"
+
+    def __init__(self, lang: str = "ara+eng", method: str | None = "pipeline"):
         import pytesseract
 
-        self.run, self.lang, self.last = pytesseract.image_to_string, lang, (None, None)
+        self.run, self.lang, self.last, self.method = pytesseract.image_to_string, lang, (None, None), method
+
+    def _read(self, image) -> str:
+        return self.run(prepared(image, self.method), lang=self.lang, config="--oem 3 --psm 6")
 
     def _raster(self, path: str, page: int, dpi: int):
         if self.last[0] != (path, page, dpi):
@@ -40,39 +48,61 @@ class TesseractEngine:
 
     def region(self, path, page, box, dpi):
         image = self._raster(path, page, dpi)
-        return self.run(image.crop(tuple(int(v * dpi / 72) for v in box)), lang=self.lang, config="--oem 3 --psm 6")
+        return self._read(image.crop(tuple(int(v * dpi / 72) for v in box)))
 
     def page(self, path, page, dpi):
-        return self.run(self._raster(path, page, dpi), lang=self.lang, config="--oem 3 --psm 6")
+        return self._read(self._raster(path, page, dpi))
 
     def image(self, data):
         import io
 
         from PIL import Image
 
-        return self.run(Image.open(io.BytesIO(data)), lang=self.lang, config="--oem 3 --psm 6")
+        return self._read(Image.open(io.BytesIO(data)))
 
 
 class EasyOcrEngine(TesseractEngine):
-    """Optional: needs easyocr; detections above 0.3 are joined by spaces."""
+    """Optional: needs easyocr, which reads images as they are; detections above 0.3 are joined by spaces."""
 
     def __init__(self, languages: tuple[str, ...] = ("ar", "en")):
         import easyocr
         import numpy
 
         reader = easyocr.Reader(list(languages), gpu=False)
-        self.lang, self.last = None, (None, None)
-        self.run = lambda image, **_: " ".join(text for _, text, sure in reader.readtext(numpy.array(image)) if sure > 0.3)
+        self.lang, self.last, self.method = None, (None, None), None
+        self.run = lambda image, **_: sure_text(reader.readtext(numpy.array(image)))
+
+
+def prepared(image, method: str | None):
+    """A PIL image (anything that numpy reads) prepared by a method of raster.preprocess; None leaves it as it is."""
+    if method is None:
+        return image
+    import numpy
+
+    from ..functions import raster
+
+    pixels = numpy.asarray(image.convert("RGB") if hasattr(image, "convert") else image)
+    out = raster.preprocess(pixels, method)
+    if not hasattr(image, "convert"):
+        return out
+    from PIL import Image
+
+    return Image.fromarray(out)
+
+
+def sure_text(detections: list[tuple], least: float = 0.3) -> str:
+    """Texts of (place, text, confidence) detections above a confidence, joined by spaces."""
+    return " ".join(text for _, text, sure in detections if sure > least)
 
 
-def make_engine(name: str, lang: str, languages: tuple[str, ...]) -> OcrEngine:
+def make_engine(name: str, lang: str, languages: tuple[str, ...], method: str | None = "pipeline") -> OcrEngine:
     """The named engine; the other one if it can't start."""
     if name == "easyocr":
         try:
             return EasyOcrEngine(languages)
         except Exception:
             pass
-    return TesseractEngine(lang)
+    return TesseractEngine(lang, method)
 
 
 def read_regions(df: DataFrame, factory, kind: str, dpi: int, out: str = "ocr_text") -> DataFrame:

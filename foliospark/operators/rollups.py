@@ -102,10 +102,42 @@ def full_text(pages: DataFrame) -> DataFrame:
 
 
 def job_status(outcomes: DataFrame) -> DataFrame:
-    """(job_id, file, error) to one row per job: total, completed, errors, status."""
-    return outcomes.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("results"), F.count_if(F.col("error").isNotNull()).alias("errors")
-    ).withColumn("status", F.lit("completed"))
+    """(job_id, file, error) to one row per job: total, results, errors, status.
+
+    A boolean column done, if there is one, tells files that are through; a job with others is processing. A string
+    column failure, if there is one, is an error of the whole job.
+    """
+    done = F.col("done") if "done" in outcomes.columns else F.lit(True)
+    failed = F.max(F.col("failure").isNotNull()) if "failure" in outcomes.columns else F.lit(False)
+    out = outcomes.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(done & F.col("error").isNull()).alias("results"), F.count_if(done & F.col("error").isNotNull()).alias("errors"),
+        F.when(failed, "error").when(F.min(done), "completed").otherwise("processing").alias("status"),
+    )
+    return out
+
+
+def page_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """Pages with images_count; images are rows per page."""
+    counts = images.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("images_count"))
+    return pages.join(counts, list(PAGE), "left").fillna(0, ["images_count"])
+
+
+def document_images(images: DataFrame) -> DataFrame:
+    """(doc_id, images): each document's images as one list in order: page, index, format, size in bytes, filename."""
+    one = F.struct(
+        F.col("page_number").alias("page"), F.col("img_index").alias("index"), "format", F.octet_length("bytes").alias("size"),
+        F.format_string("page%d_img%d.%s", "page_number", "img_index", "format").alias("filename"),
+    )
+    return images.groupBy("doc_id").agg(F.sort_array(F.collect_list(one)).alias("images"))
+
+
+def run_summary(documents: DataFrame) -> DataFrame:
+    """One row over all documents: documents, pages, blocks, images and the mean of the means above 0."""
+    some = F.when(F.col("avg_confidence") > 0, F.col("avg_confidence"))
+    return documents.agg(
+        F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(f"total_{c}"), F.lit(0)).alias(f"total_{c}") for c in ("pages", "blocks", "images")],
+        F.coalesce(F.avg(some), F.lit(0.0)).alias("avg_confidence"),
+    )
 
 
 def viewer_filter(blocks: DataFrame, name: str) -> DataFrame:

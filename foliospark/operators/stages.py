@@ -196,7 +196,7 @@ def structured(pages: DataFrame, raw_images: DataFrame | None = None, ocr: Ocr |
         has = F.length(X.strip(F.col("ocr_text"))) > 0
         kept = kept.unionByName(
             got.select(*PAGE, "width", "raw.raw_seq", F.lit("image").alias("type"), "bbox", F.lit("ocr").alias("extraction_method"),
-                       F.when(has, F.lit(STRUCTURED_IMAGE_CONFIDENCE)).otherwise(0.0).alias("confidence"), X.strip(F.col("ocr_text")).alias("ocr_text")),
+                       F.when(has, F.lit(STRUCTURED_IMAGE_CONFIDENCE)).otherwise(0.0).alias("confidence"), X.strip(F.col("ocr_text")).alias("ocr_text"), "format"),
             allowMissingColumns=True,
         )
     return with_columns(number_blocks(kept))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ class Results:
     pages: DataFrame
     documents: DataFrame
     stage_metrics: DataFrame
+    #: Seconds of the run's written steps; lazy roll-ups are not in them.
+    seconds: dict[str, float]
 
 
 def run(pages: DataFrame, engines: Engines, raw_images: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig(), image_folder: str | None = None) -> Results:
@@ -39,8 +42,15 @@ def run(pages: DataFrame, engines: Engines, raw_images: DataFrame | None = None,
     stages, merged pages and final blocks are written once too: later steps read them several times, and no region is
     read by OCR twice.
     """
-    on = cfg.stages
-    rows = materialise(stages.direct(pages, outer=True))
+    on, seconds = cfg.stages, {}
+
+    def written(step: str, df: DataFrame) -> DataFrame:
+        began = time.monotonic()
+        out = materialise(df)
+        seconds[step] = time.monotonic() - began
+        return out
+
+    rows = written("direct", stages.direct(pages, outer=True))
     direct = rows.where("seq is not null").drop("width", "height")
     frame = rows.where("coalesce(seq, 0) = 0").select(*PAGE, "width", "height")
     found, asked = [direct], []
@@ -52,31 +62,32 @@ def run(pages: DataFrame, engines: Engines, raw_images: DataFrame | None = None,
     if on.grid_ocr:
         cells = stages.sparse_cells(frame, stages.union_stages(*found), cfg)
         if len(found) > 1:
-            cells = materialise(cells)
+            cells = written("grid_cells", cells)
         found.append(stages.grid_ocr(cells, engines.cell))
         asked.append(cells.select(*PAGE, F.lit("grid_regions").alias("counter")))
     images = None
     if on.image_ocr and raw_images is not None:
-        images = materialise(stages.images(raw_images, engines.image, image_folder))
+        images = written("image_ocr", stages.images(raw_images, engines.image, image_folder))
         found.append(stages.image_ocr(images))
-    every = materialise(stages.union_stages(*found))
-    solved = materialise(merge.solve(every, cfg))
-    blocks = materialise(cleaning.with_columns(cleaning.post_process(merge.kept(solved), cfg), frame))
+    every = written("ocr", stages.union_stages(*found))
+    solved = written("merged", merge.solve(every, cfg))
+    blocks = written("post_processed", cleaning.with_columns(cleaning.post_process(merge.kept(solved), cfg), frame))
     page_rows = rollups.page_summary(frame, blocks, images, columns=True)
     counters = merge.counters(solved).join(rollups.cleaning_counters(blocks), list(PAGE), "left").join(rollups.direct_counters(direct, cfg.confidence_threshold), list(PAGE), "left")
     counters = counters.join(rollups.stage_counters(frame, every, asked, images), list(PAGE), "left")
     metrics = rollups.stage_summary(every).join(counters, list(PAGE), "left")
-    return Results(blocks.drop("reshaped", "fixed", "columns"), images, page_rows, rollups.document_summary(page_rows), metrics)
+    return Results(blocks.drop("reshaped", "fixed", "columns"), images, page_rows, rollups.document_summary(page_rows), metrics, seconds)
 
 
 def run_structured(pages: DataFrame, ocr: Ocr | None = None, raw_images: DataFrame | None = None, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
     return stages.structured(pages, raw_images, ocr, cfg.structured_threshold)
 
 
-def run_hybrid(pages: DataFrame, ocr: Ocr | None = None, cfg: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
-    """(page rows, full text per document)."""
+def run_hybrid(pages: DataFrame, ocr: Ocr | None = None, cfg: PipelineConfig = PipelineConfig(), raw_images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page rows, full text per document); with images, page rows have images_count."""
     rows = stages.hybrid(pages, ocr, cfg.hybrid_threshold)
-    return rows, rollups.full_text(rows)
+    text = rollups.full_text(rows)
+    return rows if raw_images is None else rollups.page_images(rows, raw_images), text
 
 
 def fixture_engines() -> Engines:
@@ -91,14 +102,17 @@ def fixture_engines() -> Engines:
     )
 
 
-def ocr_engines(cfg: PipelineConfig = PipelineConfig()) -> Engines:
-    """Real engines by the config's name; a row's doc_id must be a path that workers can open."""
+def ocr_engines(cfg: PipelineConfig = PipelineConfig(), method: str | None = "pipeline") -> Engines:
+    """Real engines by the config's name; a row's doc_id must be a path that workers can open.
+
+    method prepares images: pipeline for the seven stages, adaptive for structured pages, all for hybrid ones.
+    """
     from ..operators.ocr import make_engine, read_regions
 
     name, lang, languages = cfg.ocr_engine, cfg.lang, cfg.engine_languages
 
     def reader(kind: str) -> Ocr:
-        return lambda df: read_regions(df.withColumn("path", F.col("doc_id").cast("string")), lambda: make_engine(name, lang, languages), kind, cfg.dpi).drop("path")
+        return lambda df: read_regions(df.withColumn("path", F.col("doc_id").cast("string")), lambda: make_engine(name, lang, languages, method), kind, cfg.dpi).drop("path")
 
     return Engines(block=reader("region"), page=reader("page"), cell=reader("region"), image=reader("image"))
 

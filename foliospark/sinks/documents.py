@@ -80,11 +80,97 @@ def write_json(tree: DataFrame, path: str) -> None:
     json_lines(tree).select("value").write.text(path)
 
 
+def structured_tree(documents: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, document, pages) of structured pages, unrounded; pages that kept no block have an empty list.
+
+    documents: doc_id, filename, total_pages, metadata; pages: (doc_id, page_number, width, height); blocks as
+    operators.stages.structured gives them. Text and image blocks have the fields of both; json_lines drops null ones.
+    """
+    image = F.when(F.col("type") == "image", F.format_string("page%d_img%d.%s", "page_number", "seq", F.coalesce("format", F.lit("png")))) if "format" in blocks.columns else F.lit(None).cast("string")
+    box = F.array(*[F.col(f"bbox.{k}") for k in ("x0", "y0", "x1", "y1")])
+    block = F.struct("block_id", "type", box.alias("bbox"), "extraction_method", "confidence", "text", "direction", "rtl_ratio", "font", "size", image.alias("image_path"), "ocr_text", "column")
+    listed = blocks.groupBy(*PAGE).agg(F.max("columns").alias("columns"), F.sort_array(F.collect_list(F.struct("seq", block.alias("b")))).alias("x"))
+    full = pages.select(*PAGE, "width", "height").join(listed, list(PAGE), "left")
+    kept = F.coalesce(F.transform("x", lambda x: x["b"]), F.array().cast(listed.select(F.transform("x", lambda x: x["b"]).alias("b")).schema["b"].dataType))
+    page = F.struct("page_number", "width", "height", F.coalesce("columns", F.lit(1)).alias("columns"), kept.alias("blocks"))
+    ordered = full.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_number", page.alias("p")))).alias("x"))
+    head = F.struct("filename", "total_pages", "metadata").alias("document")
+    return documents.select("doc_id", head).join(ordered.select("doc_id", F.transform("x", lambda x: x["p"]).alias("pages")), "doc_id", "left")
+
+
+#: Fields that only one kind of structured block has.
+BY_KIND = {"text": ("text", "direction", "rtl_ratio", "font", "size"), "image": ("image_path", "ocr_text")}
+
+
+def structured_lines(tree: DataFrame, indent: int | None = None) -> DataFrame:
+    """(doc_id, value): structured documents as JSON; a block has the fields of its kind, text blocks without a font neither
+    font nor size, image blocks no extraction method."""
+    ship(tree.sparkSession)
+    text = tree.select("doc_id", F.to_json(F.struct("document", "pages"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def shaped(b: dict) -> dict:
+        leave = {*BY_KIND["image" if b["type"] == "text" else "text"]} | ({"extraction_method"} if b["type"] == "image" else set())
+        leave |= {"font", "size"} if b.get("font") is None else set()
+        return {k: v for k, v in b.items() if k not in leave}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        for pdf in batches:
+            trees = [json.loads(v) for v in pdf["value"]]
+            for t in trees:
+                for page in t.get("pages") or ():
+                    page["blocks"] = [shaped(b) for b in page["blocks"]]
+            yield pdf.assign(value=[json.dumps(rounded(t), ensure_ascii=False, indent=indent) for t in trees])
+
+    return text.mapInPandas(run, text.schema)
+
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """(name, bytes) rows as files of a folder that all executors have mounted; names may have folders.
+
+    A file is written beside its place and then renamed, so a task that runs twice leaves whole files.
+    """
+    ship(files.sparkSession)
+    top = folder.removeprefix("file://")
+
+    def put(rows) -> None:
+        import os
+        import uuid
+
+        for r in rows:
+            path = os.path.join(top, r["name"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            own = f"{path}.{uuid.uuid4().hex}"
+            with open(own, "wb") as f:
+                f.write(bytes(r["bytes"] or b""))
+            os.replace(own, path)
+
+    files.select("name", "bytes").foreachPartition(put)
+
+
 def write_text(texts: DataFrame, path: str) -> None:
-    """(doc_id, full_text) as one text per document, partitioned by document."""
-    texts.select(F.col("doc_id"), F.col("full_text").alias("value")).write.partitionBy("doc_id").text(path)
+    """(doc_id, full_text): one JSON line per document, which any number of documents allows."""
+    texts.select("doc_id", "full_text").write.json(path)
+
+
+def text_files(texts: DataFrame, suffix: str = ".txt") -> DataFrame:
+    """(name, bytes) of one text file per document, for write_files."""
+    last = F.regexp_extract(F.col("doc_id").cast("string"), r"([^/\\]*)$", 1)
+    return texts.select(output_name(last, suffix).alias("name"), F.col("full_text").cast("binary").alias("bytes"))
+
+
+def image_files(images: DataFrame, folder: Column | None = None) -> DataFrame:
+    """(name, bytes) of image files, of each document in a folder of its own if one is given; for write_files."""
+    name = F.format_string("page%d_img%d.%s", "page_number", "img_index", "format")
+    return images.select((F.concat(folder, F.lit("/"), name) if folder is not None else name).alias("name"), "bytes")
+
 
+def clear(folder: str) -> int:
+    """Removes the files at the top of a local folder and leaves its folders, such as those of images; how many went."""
+    import os
 
-def image_files(images: DataFrame) -> DataFrame:
-    """(name, bytes) as image files would be named; write as Parquet, or file by file with foreachPartition."""
-    return images.select(F.format_string("page%d_img%d.%s", "page_number", "img_index", "format").alias("name"), "bytes")
+    files = [f.path for f in os.scandir(folder) if f.is_file()]
+    for f in files:
+        os.remove(f)
+    return len(files)

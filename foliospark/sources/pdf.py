@@ -1,8 +1,10 @@
 """A Python data source for PDFs, with the standard library alone: ``spark.read.format("folio_pdf").load(glob)``.
 
-Understands plain and Flate streams, page trees with inherited boxes, and the text operators of simple fonts; anything
-else (object streams, encryption, composite fonts) needs a real parser, to be put in its place. One partition per file,
-one row per page, in the shape of schema.RAW_PAGES; metadata and embedded images come from ``info`` and ``image_rows``.
+Understands plain and Flate streams, object streams, page trees with inherited boxes, and the text operators of simple
+fonts and of composite ones that say what their codes mean (ToUnicode); encrypted files are an error, anything else needs
+a real parser, to be put in its place. One partition per file, one row per page, in the shape of schema.RAW_PAGES.
+alt_text is a second reading: lines from top to bottom, whatever their order in the file. Metadata and embedded images
+with their places come from ``info_of`` and ``images_of``.
 """
 
 from __future__ import annotations
@@ -32,8 +34,25 @@ class Pdf:
             raise ValueError("not a PDF")
         self.version = data[5:8].decode("latin-1")
         self.objects = {int(n): body for n, _, body in _OBJECT.findall(data)}
+        packed = [n for n, body in self.objects.items() if re.search(rb"/Type\s*/ObjStm", body)]
         self.trailer = data[data.rfind(b"trailer") :] if b"trailer" in data else b""
+        if not self.trailer:  # a cross-reference stream has the trailer's entries
+            self.trailer = b"".join(b.split(b"stream")[0] for b in self.objects.values() if re.search(rb"/Type\s*/XRef", b))
         self.encrypted = b"/Encrypt" in self.trailer
+        for n in packed if not self.encrypted else ():
+            self._unpack(n)
+
+    def _unpack(self, n: int) -> None:
+        """Objects of an object stream: pairs of number and offset, then the objects."""
+        head, data = self.objects[n].split(b"stream")[0], self.stream(n)
+        first = re.search(rb"/First\s+(\d+)", head)
+        if not first:
+            return
+        at = int(first[1])
+        numbers = [int(x) for x in data[:at].split()]
+        places = [*zip(numbers[::2], numbers[1::2], strict=False)]
+        for (k, begin), (_, end) in zip(places, [*places[1:], (0, len(data) - at)], strict=True):
+            self.objects.setdefault(k, data[at + begin : at + end])
 
     def ref(self, body: bytes, key: str) -> int | None:
         m = re.search(rb"/" + key.encode() + rb"\s+(\d+)\s+\d+\s+R", body)
@@ -82,6 +101,20 @@ class Pdf:
             out[name.decode("latin-1")] = base[1].decode("latin-1") if base else "Unknown"
         return out
 
+    def cmaps(self, page: bytes) -> dict[str, tuple[int, dict[bytes, str]]]:
+        """Of fonts that say so: bytes of a code, and the text of each code."""
+        found = re.search(rb"/Font\s*<<(.*?)>>", page, re.S)
+        out = {}
+        for name, n in re.findall(rb"/(\S+)\s+(\d+)\s+\d+\s+R", found[1]) if found else []:
+            at = self.ref(self.objects.get(int(n), b""), "ToUnicode")
+            if at:
+                out[name.decode("latin-1")] = code_map(self.stream(at))
+        return out
+
+    def xobjects(self, page: bytes) -> list[tuple[str, int]]:
+        found = re.search(rb"/XObject\s*<<(.*?)>>", page, re.S)
+        return [(a.decode("latin-1"), int(n)) for a, n in re.findall(rb"/(\S+)\s+(\d+)\s+\d+\s+R", found[1] if found else b"")]
+
     def info(self) -> dict[str, str | None]:
         body = self.objects.get(self.ref(self.trailer, "Info") or -1, b"")
         out: dict[str, str | None] = {"format": f"PDF {self.version}"}
@@ -91,35 +124,62 @@ class Pdf:
         return out | {"encryption": "Standard" if self.encrypted else None}
 
 
-def literal(token: bytes) -> str:
-    """Text of a string token."""
+def code_map(data: bytes) -> tuple[int, dict[bytes, str]]:
+    """Bytes of a code and the text of each code, from a ToUnicode stream."""
+    text = lambda x: bytes.fromhex(x.decode()).decode("utf-16-be", "replace")
+    out: dict[bytes, str] = {}
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
+        for code, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
+            out[bytes.fromhex(code.decode())] = text(to)
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
+        for low, high, to, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", part, re.S):
+            a, b, size = int(low, 16), int(high, 16), len(low) // 2
+            each = [text(x) for x in re.findall(rb"<([0-9A-Fa-f]+)>", many)]
+            for k in range(min(b - a + 1, 1 << 16)):
+                if to:
+                    begin = text(to)
+                    out[(a + k).to_bytes(size, "big")] = begin[:-1] + chr(min(ord(begin[-1]) + k, 0x10FFFF))
+                elif k < len(each):
+                    out[(a + k).to_bytes(size, "big")] = each[k]
+    return (len(next(iter(out))) if out else 1), out
+
+
+def raw_string(token: bytes) -> bytes:
+    """Bytes of a string token."""
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1][-1:] == b"\n" else m[1]), token[1:-1], flags=re.S)
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], b"" if m[1][-1:] == b"\n" else m[1]), token[1:-1], flags=re.S)
+
+
+def literal(token: bytes, codes: tuple[int, dict[bytes, str]] | None = None) -> str:
+    """Text of a string token, by a font's map of codes if it has one."""
+    raw = raw_string(token)
+    if codes and codes[1]:
+        return "".join(codes[1].get(raw[k : k + codes[0]], "") for k in range(0, len(raw), codes[0]))
     return raw.decode("utf-16") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
 
 
-def lines_of(content: bytes, fonts: dict[str, str], height: float) -> list[list[dict]]:
+def lines_of(content: bytes, fonts: dict[str, str], height: float, cmaps: dict | None = None) -> list[list[dict]]:
     """Text blocks (one per BT ... ET) as lists of placed lines: text, font, size, x0, y0, x1, y1 from the top left."""
     blocks: list[list[dict]] = []
     stack: list[bytes] = []
-    font, size, lead, x, y, line = "Unknown", 12.0, 0.0, 0.0, 0.0, (0.0, 0.0)
+    font, size, lead, x, y, line, codes = "Unknown", 12.0, 0.0, 0.0, 0.0, (0.0, 0.0), None
     for m in _TOKEN.finditer(content):
         t = m[0]
         if not t[:1].isalpha() and t not in (b"'", b'"'):
             stack.append(t)
             continue
         number = [float(s) for s in stack if re.fullmatch(_NUMBER, s)]
-        strings = [literal(s) for s in stack if s[:1] in b"(<"]
+        strings = [literal(s, codes) for s in stack if s[:1] in b"(<"]
         if t == b"BT":
             blocks.append([])
             x = y = 0.0
             line = (0.0, 0.0)
         elif t == b"Tf" and number:
             size = number[-1]
-            font = fonts.get(next((s[1:].decode("latin-1") for s in stack if s[:1] == b"/"), ""), "Unknown")
+            name = next((s[1:].decode("latin-1") for s in stack if s[:1] == b"/"), "")
+            font, codes = fonts.get(name, "Unknown"), (cmaps or {}).get(name)
         elif t == b"TL" and number:
             lead = number[-1]
         elif t in (b"Td", b"TD") and len(number) >= 2:
@@ -138,29 +198,70 @@ def lines_of(content: bytes, fonts: dict[str, str], height: float) -> list[list[
     return [b for b in blocks if b]
 
 
+def places_of(content: bytes, height: float) -> dict[str, tuple[float, float, float, float]]:
+    """Where each external object is first drawn: the unit square under the matrix in force, from the top left."""
+    stack: list[bytes] = []
+    now, saved, out = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], {}
+    for m in _TOKEN.finditer(content):
+        t = m[0]
+        if not t[:1].isalpha() and t not in (b"'", b'"'):
+            stack.append(t)
+            continue
+        if t == b"q":
+            saved.append(now)
+        elif t == b"Q" and saved:
+            now = saved.pop()
+        elif t == b"cm":
+            v = [float(x) for x in stack if re.fullmatch(_NUMBER, x)][-6:]
+            if len(v) == 6:
+                (a, b, c, d, e, f), (g, h, i, j, k, n) = v, now
+                now = (a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + n)
+        elif t == b"Do" and stack and stack[-1][:1] == b"/":
+            a, b, c, d, e, f = now
+            xs, ys = (e, e + a, e + c, e + a + c), (f, f + b, f + d, f + b + d)
+            out.setdefault(stack[-1][1:].decode("latin-1"), (min(xs), height - max(ys), max(xs), height - min(ys)))
+        stack = []
+    return out
+
+
+def reading_order(blocks: list[list[dict]]) -> str:
+    """Lines from top to bottom and left to right, those of one height on one line."""
+    rows: dict[int, list[dict]] = {}
+    for line in (x for b in blocks for x in b):
+        rows.setdefault(round(line["y1"]), []).append(line)
+    return "\n".join(" ".join(x["text"] for x in sorted(rows[y], key=lambda x: x["x0"])) for y in sorted(rows))
+
+
 def page_rows(doc_id: str, data: bytes) -> Iterator[tuple]:
     """Rows of RAW_PAGES."""
-    pdf = Pdf(data)
+    pdf = readable(data)
     for k, (_, page) in enumerate(pdf.pages()):
         width, height = pdf.size(page)
-        blocks = lines_of(pdf.content(page), pdf.fonts(page), height)
+        blocks = lines_of(pdf.content(page), pdf.fonts(page), height, pdf.cmaps(page))
         raw = []
         for seq, lines in enumerate(blocks):
             place = (min(s["x0"] for s in lines), min(s["y0"] for s in lines), max(s["x1"] for s in lines), max(s["y1"] for s in lines))
             raw.append((seq, 0, place, [([(s["text"], s["font"], s["size"])],) for s in lines]))
         text = "\n".join(s["text"] for b in blocks for s in b)
-        yield (doc_id, k + 1, width, height, text, None, raw)
+        yield (doc_id, k + 1, width, height, text, reading_order(blocks), raw)
 
 
-def image_rows(doc_id: str, data: bytes) -> Iterator[tuple]:
-    """(doc_id, page_number, img_index, xref, format, bytes) of the JPEG images that pages refer to."""
+def readable(data: bytes) -> Pdf:
     pdf = Pdf(data)
+    if pdf.encrypted:
+        raise ValueError("encrypted PDF")
+    return pdf
+
+
+def image_rows(doc_id: str, data: bytes) -> Iterator[tuple]:
+    """(doc_id, page_number, img_index, xref, format, place, bytes) of the images that pages refer to; place may be None."""
+    pdf = readable(data)
     for k, (_, page) in enumerate(pdf.pages()):
-        found = re.search(rb"/XObject\s*<<(.*?)>>", page, re.S)
-        for i, n in enumerate(int(x) for x in re.findall(rb"/\S+\s+(\d+)\s+\d+\s+R", found[1] if found else b"")):
+        places = places_of(pdf.content(page), pdf.size(page)[1])
+        for i, (name, n) in enumerate(pdf.xobjects(page)):
             body = pdf.objects.get(n, b"")
             if b"/Image" in body and (m := _STREAM.search(body)):
-                yield (doc_id, k + 1, i, n, "jpeg" if b"/DCTDecode" in body else "png", m[1])
+                yield (doc_id, k + 1, i, n, "jpeg" if b"/DCTDecode" in body else "png", places.get(name), m[1])
 
 
 class PdfDataSource(DataSource):
@@ -201,7 +302,10 @@ def register(spark: SparkSession) -> None:
 
 
 def pages_of(files):
-    """RAW_PAGES of (path, content) rows, for files that only Spark's readers reach; unreadable files give no row."""
+    """RAW_PAGES of (path, content) rows, for files that only Spark's readers reach.
+
+    A file that can't be read has no page; ``info_of`` has a row with its error.
+    """
     from ..runtime import ship
 
     ship(files.sparkSession)
@@ -228,7 +332,7 @@ def pages_of(files):
 
 
 def images_of(files):
-    """RAW_IMAGES of (path, content) rows; the place of an image is not read, so it is null."""
+    """RAW_IMAGES of (path, content) rows; the place of an image that no page draws is null."""
     from ..runtime import ship
 
     ship(files.sparkSession)
@@ -240,7 +344,8 @@ def images_of(files):
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(*r[:5], None, r[5]) for r in image_rows(path, content)]
+                    box = lambda b: b and dict(zip(("x0", "y0", "x1", "y1"), b, strict=True))
+                    rows += [(*r[:5], box(r[5]), r[6]) for r in image_rows(path, content)]
                 except (ValueError, zlib.error):
                     continue
             if rows:
@@ -263,7 +368,7 @@ def info_of(files):
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     one = Pdf(content)
-                    rows.append((path, len(one.pages()), one.info(), None))
+                    rows.append((path, len(one.pages()), one.info(), "encrypted PDF" if one.encrypted else None))
                 except (ValueError, zlib.error) as e:
                     rows.append((path, 0, {}, str(e)))
             yield pd.DataFrame(rows, columns=["doc_id", "total_pages", "metadata", "error"])
