@@ -6,7 +6,8 @@ are given by comparing the blocks themselves, so two texts have one name only if
 
 Blocks are sorted by a hash and then by themselves, with the row as tie-breaker, so range partitioning samples short keys
 and spreads a block that a third of all rows share over many partitions. A partition numbers its blocks while it streams
-them; the driver joins names over the borders at which a hash goes on, and reads only the blocks at those borders.
+them; blocks of the first and last hash of each partition are grouped as rows of their own, which finds the names of a
+block that goes on over borders. The driver reads no block.
 
 Defined results: null text is an empty text. Each input row counts on its own, repeated rows too. Of equal texts the row
 with the largest id stays (null ids lose; rows that repeat the largest id all say kept). An empty table gives an empty
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import materialise, shuffle_parts
+from .common import join_back, materialise, shuffle_parts
 
 BLOCK = 16_384
 _NAMED = "row long, pos long, n long, id string, sha string, part int, name long, h long, edge string, key string"
@@ -64,29 +65,15 @@ def name_sorted(df: DataFrame) -> DataFrame:
     df = df.withColumn("h", F.xxhash64("key"))
     ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), "h", "row", "pos").sortWithinPartitions("h", "key", "row", "pos")
     named = materialise(ranged.mapInPandas(_number, _NAMED))
-    edges = named.where("edge is not null")
-    ends = {(e["part"], e["edge"]): e["h"] for e in edges.select("part", "edge", "h").distinct().collect()}  # two a partition
-    parts = sorted({p for p, _ in ends})
-    crossed = [(p, q) for p, q in zip(parts, parts[1:]) if ends[p, "last"] == ends[q, "first"]]
-    near = sorted({p for pair in crossed for p in pair})
-    keys: dict[tuple, list] = {}
-    for e in edges.where(F.col("part").isin(near)).collect() if near else []:
-        keys.setdefault((e["part"], e["edge"]), []).append((e["key"], e["name"]))
-    goes: dict[tuple[int, int], int] = {}
-    carried: dict[int, dict] = {}
-    for p, q in crossed:
-        known = {k: goes.get((p, n), (p << 40) + n) for k, n in keys[p, "last"]}
-        if ends[p, "first"] == ends[p, "last"] and p in carried:
-            known = carried[p] | known
-        carried = {q: known}
-        goes |= {(q, n): known[k] for k, n in keys[q, "first"] if k in known}
-    name = F.shiftleft(F.col("part").cast("long"), 40) + F.col("name")
-    rows = named.where("edge is null")
-    if goes:
-        borders = df.sparkSession.createDataFrame([(p, n, to) for (p, n), to in goes.items()], "p int, at long, goes long")
-        rows = rows.join(F.broadcast(borders), (F.col("part") == F.col("p")) & (F.col("name") == F.col("at")), "left")  # borders only
-        name = F.coalesce("goes", name)
-    return rows.select("row", "pos", "n", "id", "sha", name.alias("name"))
+    # a block in several partitions has the last or first hash of each: all go by the least (part, name)
+    edges = named.where("edge is not null").select("h", "key", F.struct("part", "name").alias("at")).distinct()
+    least = edges.groupBy("h", "key").agg(F.min("at").alias("to"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    goes = edges.join(least, ["h", "key"]).where("at <> to").select("at", "to")
+    rows = named.where("edge is null").select("row", "pos", "n", "id", "sha", F.struct("part", "name").alias("at"))
+    at = F.coalesce("to", "at")
+    name = F.shiftleft(at["part"].cast("long"), 40) + at["name"]
+    # two hashes a partition, each of one block but for collisions: as many rows as partitions, without their blocks
+    return rows.join(F.broadcast(goes), "at", "left").select("row", "pos", "n", "id", "sha", name.alias("name"))
 
 
 def identities(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -118,9 +105,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", block
     """One row per input row: the id, keep_id, group_size, kept, text_sha256. The id column is an integer."""
     kind = df.schema[id_col].dataType
     ids = materialise(identities(df, id_col, text, block).withColumn("id", F.col("id").cast(kind)))
-    groups = ids.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+    ids = ids.select("id", "sha", F.struct("level", "name").alias("same"))
+    groups = ids.groupBy("same").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+    return join_back(ids, groups, "same", ids.count()).select(
+        F.col("id").alias(id_col), "keep_id", F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
 
@@ -128,11 +116,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: i
     """The rows of df that stay: of equal texts the one with the largest id, once. Rows with a null id all stay."""
     from .shingles import maybe_in
 
-    out = materialise(exact_dedup(df, id_col, text, block).select(F.col(id_col).alias("i"), "keep_id", "kept", F.col("text_sha256").alias("h")).where("i is not null"))
-    goes = out.where("not kept").select("i")
-    again = out.where("kept").groupBy("i", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i")  # repeated rows
+    own = exact_dedup(df, id_col, text, block)
+    out = materialise(own.select(F.col(id_col).alias("i__"), "kept", F.col("text_sha256").alias("h__")).where("i__ is not null"))
+    goes = out.where("not kept").select("i__")
+    again = out.where("kept").groupBy("i__", "h__").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i__")  # repeated rows
     test = maybe_in(df, id_col, materialise(goes.unionByName(again).distinct()))
     some = df.where(test).withColumn("h__", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    stay = out.where("kept").select("i", "h").distinct()
-    held = some.join(stay, (F.col(id_col) == F.col("i")) & (F.col("h__") == F.col("h"))).dropDuplicates(["i", "h"]).select(*df.columns)
+    stay = out.where("kept").select("i__", F.col("h__").alias("g__")).distinct()
+    held = some.join(stay, (F.col(id_col) == F.col("i__")) & (F.col("h__") == F.col("g__"))).dropDuplicates(["i__", "h__"]).select(*df.columns)
     return df.where(~test).unionByName(held)
