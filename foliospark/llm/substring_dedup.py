@@ -10,16 +10,18 @@ whole corpus, which has no size bound, so its automata cannot be broadcast; they
 3. A shard builds a suffix automaton of its contexts, in the order of their ids, so that each state knows the first
    document that holds its words. The contexts are then streamed through it for matching statistics, cut at WINDOW
    words: a window whose state was first seen in a smaller document repeats.
-4. An anchor with more than ``HOT`` different contexts is too much for one task. Its contexts are sorted by the words
-   after the anchor and by those before it; neighbours tell how far any other context agrees. Windows within that reach
-   are grouped as rows, by their words, which finds the same.
+4. An anchor with more than ``HOT`` different contexts is too much for one task. The windows of its contexts are rows of
+   their own, grouped by 128 bits of their words, which finds the same.
 5. Covered words are removed while the documents that have any are streamed once more.
 
-Words are compared in step 3 and 4; hashes only choose what is compared (anchors by 64 bits, equal contexts by 128).
+Anchors (64 bits) only choose what is compared. Contexts, and the windows of step 4, are equal if 128 bits
+made of the 64-bit hashes of their words are; step 3 compares words.
 
 Defined results: null and empty texts have no words; documents shorter than a window keep all words; rows with a null
 id keep all words and are no reference; rows that repeat an id must repeat its text, and get the same result; an empty
-table gives an empty table; extra columns are ignored. A passage that repeats in one document only is kept.
+table gives an empty table; extra columns are ignored. A passage that repeats in one document only is kept. Of equal
+windows the least id is the reference, so there are no ties. A very long text is one row: its words and their hashes, a
+few dozen bytes a word, are the largest thing held.
 """
 
 from __future__ import annotations
@@ -30,16 +32,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..runtime import ship
-from .common import materialise, shuffle_parts
+from .common import join_back, materialise
 from .shingles import WordHash, grams, may_hold, mix
 
 WINDOW, ANCHOR = 50, 8
 #: Different contexts of one anchor that a task takes; words of a shard's automaton.
 HOT, SHARD_WORDS = 1000, 60_000
 _CONTEXT = ("a", "c1", "c2", "n")
+_CUT = "a long, c1 long, c2 long, n int, least long, words string, w1 array<long>, w2 array<long>"
 _B = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -74,16 +76,16 @@ def stretch_hashes(h: np.ndarray, from_: np.ndarray, to: np.ndarray, base: np.ui
 
 
 def contexts(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a document's hashed words: anchors, context hashes (2), numbers of windows, first windows, anchors' places."""
+    """Of a document's hashed words: anchors, context hashes (2), numbers of windows, first windows."""
     if len(h) < WINDOW:
-        return (np.zeros(0, dtype=np.int64),) * 6
+        return (np.zeros(0, dtype=np.int64),) * 5
     g = grams(h, ANCHOR)
     chosen = least_in_windows(g, WINDOW - ANCHOR + 1)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     count = np.diff(np.r_[first, len(chosen)])
     end = first + count - 1 + WINDOW
     c1, c2 = (stretch_hashes(mix(h + b), first, end, b) for b in _B)
-    return g[chosen[first]].view(np.int64), c1.view(np.int64), c2.view(np.int64), count, first, chosen[first] - first
+    return g[chosen[first]].view(np.int64), c1.view(np.int64), c2.view(np.int64), count, first
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,19 +111,30 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words of contexts, cut from the documents that are first to hold them."""
+    """Contexts, cut from the documents that are first to hold them: their words, or the hashes of their windows if hot."""
     hashes = WordHash()
     for pdf in batches:
         out = []
         for i, t, wanted in zip(pdf["id"], pdf["text"], pdf["wanted"], strict=True):
             found = text_words(t)
-            _, c1, c2, _, first, place = contexts(hashes.of(found))
-            at = {(x, y): (f, p) for x, y, f, p in zip(c1.tolist(), c2.tolist(), first.tolist(), place.tolist(), strict=True)}
+            h = hashes.of(found)
+            _, c1, c2, _, first = contexts(h)
+            at = {(x, y): f for x, y, f in zip(c1.tolist(), c2.tolist(), first.tolist(), strict=True)}
             for x in wanted:
-                f, p = at[x["c1"], x["c2"]]
-                text = b" ".join(found[f : f + x["n"] - 1 + WINDOW]).decode("utf-8", "surrogatepass")
-                out.append((x["a"], x["c1"], x["c2"], x["n"], i, x["hot"], p, text))
-        yield pd.DataFrame(out, columns=["a", "c1", "c2", "n", "least", "hot", "place", "words"])
+                f = at[x["c1"], x["c2"]]
+                row = (x["a"], x["c1"], x["c2"], x["n"], i)
+                if x["hot"]:
+                    out.append((*row, None, *window_hashes(h[f : f + x["n"] - 1 + WINDOW])))
+                else:
+                    out.append((*row, b" ".join(found[f : f + x["n"] - 1 + WINDOW]).decode("utf-8", "surrogatepass"), None, None))
+        yield pd.DataFrame(out, columns=[*_CONTEXT, "least", "words", "w1", "w2"])
+
+
+def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each window of hashed words."""
+    first = np.arange(len(h) - WINDOW + 1)
+    w1, w2 = (stretch_hashes(mix(h + b), first, first + WINDOW, b) for b in _B)
+    return w1.view(np.int64), w2.view(np.int64)
 
 
 class SuffixAutomaton:
@@ -205,7 +218,7 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     rows, held, last = [], 0, None
     for pdf in batches:
-        for r in zip(pdf["a"], pdf["c1"], pdf["c2"], pdf["n"], pdf["least"], pdf["words"], strict=True):
+        for r in zip(*[pdf[c] for c in (*_CONTEXT, "least", "words")], strict=True):
             if r[0] != last and held > SHARD_WORDS:
                 yield solved(rows)
                 rows, held = [], 0
@@ -225,7 +238,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, t, hits in zip(pdf["id"], pdf["text"], pdf["hits"], strict=True):
             found = text_words(t)
-            _, c1, c2, n, first, _ = contexts(hashes.of(found))
+            _, c1, c2, n, first = contexts(hashes.of(found))
             hit = {(x["c1"], x["c2"]): x["at"] for x in hits}
             edge = np.zeros(len(found) + 1, dtype=np.int64)
             for x, y, windows, f in zip(c1.tolist(), c2.tolist(), n.tolist(), first.tolist(), strict=True):
@@ -244,76 +257,32 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["id", "n_removed", "kept_text", "kept_sha256"])
 
 
-def _agreeing(a, b) -> int:
-    """Words that two sequences have in common from their start."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _reaches(batches: Iterator[pd.DataFrame], side: str) -> Iterator[pd.DataFrame]:
-    """Sorted contexts with the most words beside the anchor that a neighbour shares; at a partition's ends, all."""
-
-    def one(rows: list, k: int) -> int:
-        own = rows[k][side]
-        if k == 0 or k == len(rows) - 1:
-            return len(own)
-        return max((_agreeing(own, rows[j][side]) for j in (k - 1, k + 1) if rows[j]["a"] == rows[k]["a"]), default=0)
-
-    held: list[dict] = []
-    begun = False
-    for pdf in batches:
-        held += pdf.to_dict("records")
-        if len(held) > 2:  # the last two rows wait for their next neighbour
-            done = [held[k] | {f"{side}_reach": one(held, k)} for k in range(begun, len(held) - 1)]
-            held, begun = held[-2:], True
-            yield pd.DataFrame(done)
-    if held:
-        yield pd.DataFrame([held[k] | {f"{side}_reach": one(held, k)} for k in range(begun, len(held))])
-
-
 def _hot_windows(hot: DataFrame) -> DataFrame:
-    """(context, at) of repeated windows of crowded anchors, by grouping the words of windows that may repeat."""
-    w = F.split("words", " ")
-    place = F.col("place")
-    rows = hot.select(
-        *_CONTEXT, "least", "place", "words", F.slice(w, place + ANCHOR + 1, 2 * WINDOW).alias("after"), F.reverse(F.slice(w, F.lit(1), place)).alias("before")
-    )
-    for side in ("after", "before"):
-        ranged = rows.repartitionByRange(shuffle_parts(hot.sparkSession), "a", side, "c1").sortWithinPartitions("a", side, "c1")
-        schema = T.StructType([*rows.schema.fields, T.StructField(f"{side}_reach", T.IntegerType())])
-        rows = ranged.mapInPandas(lambda it, side=side: _reaches(it, side), schema)
-    # window i has place - i words before the anchor
-    fits = lambda i: (place - i <= F.col("before_reach")) & (WINDOW - ANCHOR - (place - i) <= F.col("after_reach"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), fits)
-    rows = rows.select(*_CONTEXT, "least", w.alias("w"), F.explode(starts).alias("i"))
-    rows = rows.select(*_CONTEXT, "least", "i", F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ").alias("window"))
-    first = rows.groupBy(F.col("window").alias("fw")).agg(F.min("least").alias("first"))
-    hit = rows.join(first, (F.col("window") == F.col("fw")) & (F.col("first") < F.col("least")))
+    """(context, at) of repeated windows of crowded anchors, by grouping windows as rows."""
+    rows = hot.select(*_CONTEXT, "least", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "window"))
+    rows = materialise(rows)
+    first = rows.groupBy("window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hit = join_back(rows, first, "window", rows.count()).where("first < least")
     return hit.groupBy(*_CONTEXT).agg(F.collect_list("i").alias("at"))
 
 
 def repeated(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id, text) and the contexts of _anchors to (id, hits): contexts with repeated windows, and which (null: all)."""
-    both = anchors.groupBy(F.col("a").alias("sa")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("sa")
-    cand = materialise(anchors.join(both, F.col("a") == F.col("sa")).select("id", *_CONTEXT))
-    distinct = materialise(cand.groupBy(*_CONTEXT).agg(F.min("id").alias("least")))
+    both = anchors.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    cand = materialise(join_back(anchors, both, "a", anchors.count()).select("id", "a", F.struct(*_CONTEXT).alias("x")))
+    distinct = materialise(cand.groupBy("x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")))
     # an anchor with one context: its windows repeat wherever the context is found again
-    crowd = distinct.groupBy(F.col("a").alias("sa")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    several = distinct.join(crowd, F.col("a") == F.col("sa")).select(*_CONTEXT, "least", (F.col("k") > HOT).alias("hot"))
+    own = distinct.select("x.a", "x", "least")
+    crowd = own.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    several = join_back(own, crowd, "a", own.count()).where("size > 1").select("x.*", "least", (F.col("size") > HOT).alias("hot"))
     wanted = materialise(several.groupBy(F.col("least").alias("i")).agg(F.collect_list(F.struct(*_CONTEXT, "hot")).alias("wanted")))
     source = may_hold(docs, "id", wanted.select("i")).dropDuplicates(["id"]).join(wanted, F.col("id") == F.col("i")).select("id", "text", "wanted")
-    cut = materialise(source.mapInPandas(_stretches, "a long, c1 long, c2 long, n int, least long, hot boolean, place int, words string"))
-    calm = cut.where("not hot").repartition("a").sortWithinPartitions("a")
-    found = calm.mapInPandas(_shards, "a long, c1 long, c2 long, n int, at array<int>").unionByName(_hot_windows(cut.where("hot")))
+    cut = materialise(source.mapInPandas(_stretches, _CUT))
+    calm = cut.where("words is not null").select(*_CONTEXT, "least", "words").repartition("a").sortWithinPartitions("a")
+    found = calm.mapInPandas(_shards, "a long, c1 long, c2 long, n int, at array<int>").unionByName(_hot_windows(cut.where("words is null")))
     # a document after the first to hold a context repeats all of it; the first repeats what an earlier one had
-    key = lambda d, p: d.select(*[F.col(c).alias(p + c) for c in _CONTEXT], *[c for c in d.columns if c not in _CONTEXT])
-    same = lambda p: [F.col(c) == F.col(p + c) for c in _CONTEXT]
-    later = cand.join(key(distinct, "d_"), same("d_")).where("id > least").select("id", "c1", "c2", F.lit(None).cast("array<int>").alias("at"))
-    first = found.join(key(distinct, "d_"), same("d_")).select(F.col("least").alias("id"), "c1", "c2", "at")
+    later = join_back(cand, distinct, "x", cand.count()).where("id > least").select("id", "x.c1", "x.c2", F.lit(None).cast("array<int>").alias("at"))
+    first = found.select(F.struct(*_CONTEXT).alias("x"), "at").join(distinct, "x").select(F.col("least").alias("id"), "x.c1", "x.c2", "at")
     return later.unionByName(first).groupBy("id").agg(F.collect_list(F.struct("c1", "c2", "at")).alias("hits"))
 
 
