@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows of whole turns; built-in functions only.
 
 Turns of a conversation are numbered, and prefix sums of their tokens cut the conversation into spans: a span's new
-turns begin in one cell of half the budget, and a turn above half the budget is a span by itself. So a span of more
-than one turn keeps the budget. Every later window repeats the system turn and the turns just before the span whose
-tokens, counted back from it, fit the history budget; what is repeated is masked, so that the loss sees each assistant
-turn once.
+turns begin in one cell of half the budget. What a window repeats counts: a turn that, behind a full cell, would leave no
+room for the history budget and the system turn is a span by itself. So a window of several new turns keeps the budget;
+one of a single new turn may be as long as that turn needs, for turns are never cut. Every later window repeats the
+system turn and the turns just before the span whose tokens, counted back from it, fit the history budget; what is
+repeated is masked, so that the loss sees each assistant turn once.
 
 Template: ``<|turn|>role<|text|>text<|end|>``. Inside roles and texts a backslash goes before the second character of
 every control string and before every backslash; to read back, drop each backslash and keep what follows it.
@@ -12,7 +13,8 @@ every control string and before every backslash; to read back, drop each backsla
 Defined results: null role or text is empty; a null conv_id is a conversation of its own; turns are ordered by turn
 (null first), then role, then text, and repeated rows are turns of their own; an empty table gives an empty table; extra
 columns are ignored. Prefix sums run by chunks of turn numbers and then over chunk totals, so a long conversation is
-spread out, and a window is the largest thing that is gathered.
+spread out, and a window is the largest thing that is gathered; a very long turn is one row. Numbered turns are written
+once, and which turns a window repeats is found on their numbers alone, without texts.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import materialise, salted_join, words
 
 #: The template's marks, and control strings of common templates that texts must not forge.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -41,23 +43,30 @@ def unescape(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)\\(.)", "$1")
 
 
-def _numbered(df: DataFrame, half: int) -> DataFrame:
-    """k, conv_id, pos, role, text, tokens, before (tokens of all earlier turns), cell and big (which name the span)."""
-    size = (F.size(words(F.col("text"))) + OVERHEAD).cast("long")
+def _numbered(df: DataFrame, budget: int, history: int) -> DataFrame:
+    """k, conv_id, pos, role, text, tokens, before (tokens of all earlier turns), cell and big (which name the span).
+
+    Texts are shuffled once, by chunks of a conversation; what crosses chunks are their totals.
+    """
+    size, half = (F.size(words(F.col("text"))) + OVERHEAD).cast("long"), budget // 2
     t = df.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("k"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).select("*", size.alias("tokens"), F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60))).alias("chunk"))
-    t = t.withColumn("is_big", (F.col("tokens") > half).cast("long"))
-    w = Window.partitionBy("k", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    inner = t.select("*", F.row_number().over(w.orderBy(F.col("turn").asc_nulls_first(), "role", "text")).alias("i"), F.sum("tokens").over(w).alias("upto"), F.sum("is_big").over(w).alias("bigs"))
-    totals = t.groupBy(F.col("k").alias("k2"), F.col("chunk").alias("chunk2")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("s"), F.sum("is_big").alias("g"))
-    prior = Window.partitionBy("k2").orderBy("chunk2").rowsBetween(Window.unboundedPreceding, -1)
-    heads = totals.select("k2", "chunk2", *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(c) for c in ("n", "s", "g")])
-    at = inner.join(heads, (F.col("k") == F.col("k2")) & (F.col("chunk") == F.col("chunk2")))
-    before, bigs = F.col("s") + F.col("upto") - F.col("tokens"), F.col("g") + F.col("bigs")
+    order = Window.partitionBy("k", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    prior = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inner = t.select("*", F.row_number().over(order).alias("i"), F.sum("tokens").over(upto).alias("upto"))
+    lead = F.max(F.when((F.col("i") == 1) & (F.col("role") == "system"), F.col("tokens"))).alias("lead")
+    totals = inner.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("s"), lead)
+    first = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    heads = totals.select("k", "chunk", *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(c) for c in ("n", "s")], F.coalesce(F.first("lead").over(first), F.lit(0)).alias("lead"))
+    at = inner.join(heads, ["k", "chunk"]).withColumn("is_big", (F.col("tokens") > F.greatest(F.lit(budget - history - half) - F.col("lead"), F.lit(0))).cast("long"))
+    at = at.withColumn("bigs", F.sum("is_big").over(upto))
+    more = at.groupBy("k", "chunk").agg(F.sum("is_big").alias("g")).select("k", "chunk", F.coalesce(F.sum("g").over(prior), F.lit(0)).alias("g"))
+    at = at.join(more, ["k", "chunk"]).withColumn("before", F.col("s") + F.col("upto") - F.col("tokens"))
     return at.select(
-        "k", "conv_id", (F.col("n") + F.col("i") - 1).cast("long").alias("pos"), "role", "text", "tokens", before.alias("before"),
-        F.floor(before / half).alias("cell"), (2 * bigs - F.col("is_big")).alias("big"),
+        "k", "conv_id", (F.col("n") + F.col("i") - 1).cast("long").alias("pos"), "role", "text", "tokens", "before",
+        F.floor(F.col("before") / half).alias("cell"), (2 * (F.col("g") + F.col("bigs")) - F.col("is_big")).alias("big"),
     )
 
 
@@ -66,26 +75,18 @@ def format_windows(df: DataFrame, budget: int = 1024, history: int = 128) -> Dat
 
     loss_spans: array of (start, length), in code points of the formatted text, 0-based.
     """
-    t = _numbered(df, budget // 2)
+    t = materialise(_numbered(df, budget, history))
     span = ("k", "cell", "big")
-    starts = t.groupBy(*span).agg(F.min(F.struct("pos", "before", "conv_id")).alias("x")).select(*span, "x.*").where("pos > 0")
+    starts = materialise(t.groupBy(*span).agg(F.min(F.struct("pos", "before")).alias("x")).select(*span, "x.*").where("pos > 0"))
     reach = max(1, history // OVERHEAD)
-    back = starts.select(
-        *span, F.col("before").alias("upto"),
-        F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("pos") - reach), F.col("pos") - 1)).alias("p"), F.col("k").alias("k_"),
-    ).drop("k")
-    body = t.select("k", "conv_id", "pos", "role", "text", "tokens", "before")
+    first = F.greatest(F.lit(0).cast("long"), F.col("pos") - reach)
+    back = starts.select(*span, F.col("before").alias("upto"), F.explode(F.sequence(first, F.col("pos") - 1)).alias("pos"))
     system = (F.col("pos") == 0) & (F.col("role") == "system")
-    near = F.col("upto") - F.col("before") <= history
-    old = (
-        body.join(back, (F.col("k") == F.col("k_")) & (F.col("pos") == F.col("p")))
-        .where(near & ~system)
-        .select("k", "cell", "big", "conv_id", "pos", F.lit(False).alias("new"), "role", "text", "tokens")
-    )
-    lead = body.where(system).join(starts.select(F.col("k").alias("k_"), "cell", "big"), F.col("k") == F.col("k_")).select(
-        "k", "cell", "big", "conv_id", "pos", F.lit(False).alias("new"), "role", "text", "tokens"
-    )
-    fresh = t.select("k", "cell", "big", "conv_id", "pos", F.lit(True).alias("new"), "role", "text", "tokens")
+    near = t.where(~system).select("k", "pos", "before").join(back, ["k", "pos"]).where(F.col("upto") - F.col("before") <= history).select(*span, "pos")
+    columns = (*span, "conv_id", "pos", "new", "role", "text", "tokens")
+    old = t.drop("cell", "big").join(near, ["k", "pos"]).withColumn("new", F.lit(False)).select(*columns)
+    lead = salted_join(starts.select(*span), t.where(system).drop("cell", "big"), "k").withColumn("new", F.lit(False)).select(*columns)
+    fresh = t.withColumn("new", F.lit(True)).select(*columns)
     every = fresh.unionByName(old).unionByName(lead)
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     seg = F.struct("pos", "new", ((F.col("role") == "assistant") & F.col("new")).alias("loss"), "tokens", head.alias("head"), escape(F.col("text")).alias("body"))

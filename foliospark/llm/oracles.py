@@ -137,14 +137,14 @@ def chat_sql(budget: int = 1024, history: int = 128) -> str:
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
              length({escaped('role')}) + length({escaped('text')}) + {marks} AS chars FROM c),
     s AS (
-      SELECT *, sum(tokens) OVER w - tokens AS before, sum((tokens > {half})::INT) OVER w * 2 - (tokens > {half})::INT AS big
-      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-    k AS (SELECT *, before // {half} AS cell FROM s),
+      SELECT *, greatest(0, {budget - history - half} - coalesce(max(tokens) FILTER (pos = 0 AND role = 'system') OVER (PARTITION BY conv_id), 0)) AS room FROM t),
+    k AS (
+      SELECT *, sum(tokens) OVER w - tokens AS before, (sum(tokens) OVER w - tokens) // {half} AS cell, sum((tokens > room)::INT) OVER w * 2 - (tokens > room)::INT AS big
+      FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
     b AS (SELECT conv_id, cell, big, min(pos) AS pos, min(before) AS before FROM k GROUP BY 1, 2, 3),
     o AS (
       SELECT k.conv_id, sum(k.chars) AS chars FROM b JOIN k ON b.conv_id IS NOT DISTINCT FROM k.conv_id AND b.pos > 0
-        AND ((k.pos = 0 AND k.role = 'system')
-          OR (k.pos < b.pos AND k.pos >= b.pos - {max(1, history // (chat.OVERHEAD + 1))} AND b.before - k.before <= {history} AND NOT (k.pos = 0 AND k.role = 'system')))
+        AND ((k.pos = 0 AND k.role = 'system') OR (k.pos < b.pos AND b.before - k.before <= {history} AND NOT (k.pos = 0 AND k.role = 'system')))
       GROUP BY 1),
     a AS (
       SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS turns,

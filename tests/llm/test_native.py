@@ -183,6 +183,12 @@ def test_keep_one(spark, odd_docs, no_docs):
     assert block_naming.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, "x"), (2, "a", 6, "y"), (2, "a", 7, "z"), (None, "a", 8, "w")], "doc_id long, text string, i int, h string")
+    got = block_naming.keep_one(df)
+    assert got.columns == df.columns and sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 2]
+
+
 def test_names_do_not_rest_on_hashes(spark, monkeypatch):
     monkeypatch.setattr(block_naming.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
     df = spark.createDataFrame([(i, "ab" * (i % 5) + "c" * (i % 3)) for i in range(120)], "doc_id long, text string")
@@ -227,8 +233,7 @@ def test_chat_reads_back(spark):
     w = windows.collect()
     assert sum(len(x["text"]) for x in w if x["conv_id"] == 5) == got[5]["formatted_chars"]
     for x in w:
-        system = 4 + len("be <|turn|> brief \\ [INST]".split())
-        assert x["n_new"] == 1 or x["tokens"] <= budget + 24 + system
+        assert x["n_new"] == 1 or x["tokens"] <= budget
         if x["conv_id"] is not None and x["conv_id"] % 3 == 0 and x["conv_id"] < 12 and x["start"] > 0:
             assert x["n_repeated"] >= 1 and x["text"].startswith("<|turn|>system<|text|>be <\\|turn|> brief")
         for s in x["loss_spans"]:
