@@ -4,8 +4,10 @@ Features are presences of hashed character n-grams (words with their borders). T
 that hold each n-gram, keeps the n-grams whose log-count ratio is significant, scales their presences by the ratio and
 fits a logistic regression. Scoring looks hashed n-grams up in one broadcast table of fixed size.
 
-Bounds, all parameters: the model is fitted on about ``sample`` labelled texts at most, chosen by a hash of the id;
-the table has ``BUCKETS`` entries; at most ``FEATURES`` n-grams are kept. Every text is scored whole.
+Bounds: the model is fitted on about ``sample`` labelled texts at most, chosen by a hash of the id, on the ``features``
+n-grams of the greatest significance (ties: the lesser bucket) that at least ``least`` texts of class 1 hold, in ``steps``
+steps; all are parameters of ``train``. The hash has ``BUCKETS`` values, a constant. Every text is scored whole, by all
+its n-grams, however long it is: slices of ``SLICE`` characters bound the memory.
 
 Defined results: null and empty texts score what the intercept gives; without both classes in the labels all score 0;
 several labels of a text are so many training rows; rows with null labels are not used; repeated rows are scored alone;
@@ -27,8 +29,8 @@ from .common import materialise
 
 BUCKETS = 1 << 20
 ORDERS = (3, 4, 5, 6)
-FEATURES = 8192
-SAMPLE = 20_000
+#: Texts of class 1 that must hold an n-gram, n-grams kept at most, labelled texts at most, steps of the fit.
+LEAST, FEATURES, SAMPLE, STEPS = 3, 8192, 20_000, 400
 SLICE = 1 << 16
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], dtype=np.uint32)
 
@@ -76,7 +78,7 @@ def _present(text: str, slot: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int32)
 
 
-def _fit(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def _fit(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent on present features (cols, row after row; sizes by row).
 
     A presence is scaled by its feature's ratio, so two index arrays, by row and by feature, are all that is held.
@@ -112,7 +114,7 @@ def _fit(cols: np.ndarray, sizes: np.ndarray, y: np.ndarray, ratio: np.ndarray,
     return w, b
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, z_least: float = 4.0, l2: float = 1e-4) -> Model:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, z_least: float = 4.0, l2: float = 1e-4, least: int = LEAST, features: int = FEATURES, steps: int = STEPS) -> Model:
     """labels: (id, label 0/1) rows to learn from."""
     ship(df.sparkSession)
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y"))
@@ -121,7 +123,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = F.broadcast(rows.where(part))  # about `sample` rows of two numbers, whatever the input
     texts = materialise(df.select(F.col(id_col).alias("i"), F.col(text).alias("text")).join(chosen, "i").select("i", "y", "text"))
     counts = texts.mapInPandas(_class_counts, "b int, c0 long, c1 long").groupBy("b").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    counts = counts.where("b < 0 or c1 >= 3").toPandas()  # buckets, at most
+    counts = counts.where((F.col("b") < 0) | (F.col("c1") >= least)).toPandas()  # buckets, at most
     size = counts[counts.b < 0]
     slot = np.full(BUCKETS, -1, dtype=np.int32)
     if not len(size) or not size.c0.sum() or not size.c1.sum():
@@ -129,24 +131,25 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     c, n0, n1 = counts[counts.b >= 0], int(size.c0.iloc[0]), int(size.c1.iloc[0])
     ratio = np.log((c.c1 + 0.5) / (n1 + 1)) - np.log((c.c0 + 0.5) / (n0 + 1))
     z = ratio / np.sqrt(1 / (c.c1 + 0.5) + 1 / (c.c0 + 0.5))
-    best = c.assign(r=ratio, z=z.abs()).query("z >= @z_least").sort_values(["z", "b"], ascending=[False, True]).head(FEATURES)
+    best = c.assign(r=ratio, z=z.abs()).query("z >= @z_least").sort_values(["z", "b"], ascending=[False, True]).head(features)
     slot[best.b] = np.arange(len(best), dtype=np.int32)
     shared = df.sparkSession.sparkContext.broadcast(slot)
+    kind = np.uint16 if features <= 1 << 16 else np.int32
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [_present(t or "", shared.value).astype(np.int16) for t in pdf["text"]]
-            packed = [pdf["i"].to_numpy(dtype=np.int64), pdf["y"].to_numpy(dtype=np.int8), np.array([len(v) for v in x], dtype=np.int32), np.concatenate([*x, np.zeros(0, dtype=np.int16)])]
+            x = [_present(t or "", shared.value) for t in pdf["text"]]
+            packed = [pdf["i"].to_numpy(dtype=np.int64), pdf["y"].to_numpy(dtype=np.int8), np.array([len(v) for v in x], dtype=np.int32), np.concatenate([*x, np.zeros(0, dtype=np.int32)]).astype(kind)]
             yield pd.DataFrame([[v.tobytes() for v in packed]], columns=["i", "y", "n", "x"])
 
-    parts = texts.mapInPandas(rows_of, "i binary, y binary, n binary, x binary").collect()  # of the sample: two bytes a feature
-    ids, y, sizes, cols = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in enumerate((np.int64, np.int8, np.int32, np.int16)))
+    parts = texts.mapInPandas(rows_of, "i binary, y binary, n binary, x binary").collect()  # of the sample: two bytes a feature, or four
+    ids, y, sizes, cols = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in enumerate((np.int64, np.int8, np.int32, kind)))
     del parts
     order = np.lexsort((sizes, y, ids))  # sums in one order: reruns agree
     first = np.cumsum(sizes, dtype=np.int64) - sizes
-    cols = np.concatenate([*(cols[first[k] : first[k] + sizes[k]] for k in order), np.zeros(0, dtype=np.int16)]).astype(np.int32)
+    cols = np.concatenate([*(cols[first[k] : first[k] + sizes[k]] for k in order), np.zeros(0, dtype=kind)]).astype(np.int32)
     r = best.r.to_numpy()
-    w, b = _fit(cols, sizes[order].astype(np.int64), y[order].astype(float), r, l2)
+    w, b = _fit(cols, sizes[order].astype(np.int64), y[order].astype(float), r, l2, steps)
     return Model(slot, w * r, b)
 
 

@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -19,6 +22,50 @@ SF = "/root/testdata/sf0.01"
 # --- language
 
 
+def test_language_against_plain_counting(spark):
+    """Multinomial naive Bayes with dictionaries: n-grams of each text, one by one, and logarithms of counts."""
+    rows = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    sums = defaultdict(lambda: defaultdict(int))
+    grams = {}
+    for r in rows:
+        grams[r["doc_id"]] = [x for part in language_id.ngrams(r["text"] or "") for x in part.tolist()]
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            for g in grams[r["doc_id"]]:
+                sums[r["lang"]][g] += 1
+    total = {lang: sum(c.values()) for lang, c in sums.items()}
+    prior = lambda lang, g: math.log((sums[lang].get(g, 0) + 0.5) / (total[lang] + 0.5 * language_id.BUCKETS))
+    got = {r["doc_id"]: r for r in QUERIES["op3_language_id"](spark, SF).collect()}
+    table = {lang: defaultdict(lambda lang=lang: None) for lang in sums}
+    for r in rows:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und" and got[r["doc_id"]]["score"] == 0.0
+            continue
+        logs = {}
+        for lang in sums:
+            known = table[lang]
+            s = 0.0
+            for g in grams[r["doc_id"]]:
+                v = known[g]
+                if v is None:
+                    v = known[g] = prior(lang, g)
+                s += v
+            logs[lang] = s
+        best = max(sorted(logs), key=logs.get)
+        n = len(grams[r["doc_id"]])
+        share = 1 / sum(math.exp((x - logs[best]) / n * 8) for x in logs.values())
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["score"] == pytest.approx(share, abs=1e-5)
+
+
+def test_language_ngrams_are_those_of_the_text():
+    """Every run of one to three characters, with other characters than letters as one space, has its bucket."""
+    text = "Ab1c  d\u00e9!"
+    plain = " " + re.sub(r"[^a-z\u00e9]+", " ", text.lower()).rstrip() + " "
+    got = np.concatenate(list(language_id.ngrams(text)))
+    assert len(got) == sum(len(plain) - n + 1 for n in (1, 2, 3))
+    again = np.concatenate(list(language_id.ngrams("ab c D\u00c9")))
+    assert sorted(got.tolist()) == sorted(again.tolist())
+
+
 def test_language_held_out(spark):
     got = QUERIES["op3_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 250 and sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.98
@@ -47,6 +94,38 @@ def test_language_does_not_depend_on_slices():
 # --- toxicity
 
 
+def test_toxicity_against_dense_regression(spark):
+    """The same model by plain counting and a dense logistic regression solved by Newton steps."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdeghilmnorstu") for _ in range(r.randrange(3, 7)))
+    bad, plain = [word() for _ in range(6)], [word() for _ in range(60)]
+    rows = [(i, " ".join(r.choice(bad) if i % 5 == 0 and r.random() < 0.3 or r.random() < 0.01 else r.choice(plain) for _ in range(30)), int(i % 5 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), l2=1e-2, steps=5000)
+    sets = [{x for part in toxicity.ngrams(t) for x in part.tolist()} for _, t, _ in rows]
+    y = np.array([v for *_, v in rows], dtype=float)
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    c1, c0 = defaultdict(int), defaultdict(int)
+    for s, v in zip(sets, y, strict=True):
+        for b in s:
+            (c1 if v else c0)[b] += 1
+    ratio = {}
+    for b in c1.keys() | c0.keys():
+        a = math.log((c1[b] + 0.5) / (n1 + 1)) - math.log((c0[b] + 0.5) / (n0 + 1))
+        if c1[b] >= 3 and abs(a) / math.sqrt(1 / (c1[b] + 0.5) + 1 / (c0[b] + 0.5)) >= 4.0:
+            ratio[b] = a
+    assert set(np.flatnonzero(model.slot >= 0).tolist()) == set(ratio) and len(ratio) > 20
+    order = sorted(ratio)
+    x = np.array([[ratio[b] if b in s else 0.0 for b in order] + [1.0] for s in sets])
+    w, penalty = np.zeros(len(order) + 1), np.r_[np.full(len(order), 1e-2), 0.0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(y) + np.diag(penalty + 1e-12), x.T @ (p - y) / len(y) + penalty * w)
+    want = 1 / (1 + np.exp(-x @ w))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, carry=(F.col("doc_id"),)).collect()}
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-3
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -112,6 +191,12 @@ def test_substring(spark, monkeypatch, hot):
     assert got == substring_model(rows) and sum(r[2] for r in got) > 1000
 
 
+def test_substring_against_brute_force_on_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in QUERIES["op4_substring_dedup"](spark, SF).collect())
+    assert got == substring_model(rows) and sum(r[2] for r in got) > 10_000
+
+
 def test_substring_odd_rows(spark, odd_docs, no_docs):
     rows = substring_dedup.dedup(odd_docs).collect()
     assert len(rows) == odd_docs.count()
