@@ -1,17 +1,22 @@
 """License scans by canonical digest lookup; built-in functions only.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything
-but letters and digits a single space. The SHA-256 of the whole form is looked up among the digests of known licence
-texts, and that of each line that may be a notice among the digests of known notices.
+A text is brought to a canonical form: lower case, copyright lines dropped (behind comment marks too, and those that
+name a holder without a year), equivalent spellings made one, everything but letters and digits, so comment marks as well,
+a single space. The SHA-256 of the whole form is looked up among the digests of known licence texts, and that of each
+line that may be a notice among the digests of known notices. Known texts are a parameter: a dictionary, by default the
+texts here and in ``license_texts``, and a folder of further text files named by licence.
 
 Defined results: a null text or one without a letter or digit has no digest match (license_id null); several known
 texts with one canonical form go by the first id in code-point order; repeated rows are judged one by one; an empty
-table gives an empty table; extra columns are ignored. The table of known digests is part of the code (tens of rows),
-so it is broadcast. Lines are looked up within the row that holds them; no row is split or gathered.
+table gives an empty table; extra columns are ignored. A very long text is canonical as a whole, in one row, a few times
+its size. The digests of known texts that the driver holds are broadcast, 64 characters and an id each; with a folder Spark
+decides by the table's size. Lines are looked up within the row that holds them; no row is split or gathered.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +62,7 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
 """
 TEXTS = {"MIT": MIT, "MIT-untitled": MIT.split("\n", 2)[2], "ISC": ISC, "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL, "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD + _BSD_TAIL, "0BSD": ZERO_BSD}
+TEXTS |= {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");", "SPDX-License-Identifier: Apache-2.0"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
@@ -73,14 +79,19 @@ SPELLINGS = {
     "non infringement": "noninfringement", "organisation": "organization", "recognise": "recognize", "whilst": "while", "wilful": "willful",
     "copyright owner": "copyright holder", "copyright owners": "copyright holders", "version 2 0": "version 2", "v 2 0": "version 2",
 }
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:\(c\)|\x{a9}|copyright[ \t]+(?:\(c\)|\x{a9}|[0-9<])|all rights reserved)[^\n]*"
+#: Words that follow a capital Copyright in licence prose; any other capital word there is a holder's name.
+PROSE = ("Act", "Holder", "Interest", "Law", "Licen", "Notice", "Owner", "Right", "Statement")
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(]*(?:(?i:\(c\)|copyright[ \t]*(?:\(c\)|\x{a9}|[0-9<])|all rights reserved)|\x{a9}|Copyright[ \t]+\p{Lu})[^\n]*"
 #: Lines without any of these are no notice; those with one are looked up.
 NOTICE_HEAD = "licen[sc]e|spdx|released under"
 
 
 def canonical(text: Column) -> Column:
     """Lower case without copyright lines, marks and spelling variants; words joined by one space."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    t = F.coalesce(text, F.lit(""))
+    for word in PROSE:
+        t = F.replace(t, F.lit(f"Copyright {word}"), F.lit(f"copyright {word}"))
+    t = F.lower(F.regexp_replace(t, COPYRIGHT_LINE, ""))
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
     some = "|".join(sorted(SPELLINGS, key=lambda s: (-len(s), s)))
     return let(t, lambda x: F.when(x.rlike(f"(?:^| )(?:{some})(?: |$)"), _respelt(x)).otherwise(x))
@@ -93,23 +104,27 @@ def _respelt(t: Column) -> Column:
     return F.trim(F.replace(fixed, F.lit("  "), F.lit(" ")))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(digest, notice, license_id): canonical digests of the licence texts and notices."""
-    rows = [(t, k, False) for k, t in TEXTS.items()] + [(t, k, True) for k, ts in NOTICES.items() for t in ts]
-    table = literal_rows(spark, ("text", "license_id", "notice"), rows)
+def known(spark: SparkSession, texts: dict[str, str] = TEXTS, notices: dict[str, tuple[str, ...]] = NOTICES, folder: str | None = None) -> DataFrame:
+    """(digest, notice, license_id): canonical digests of the licence texts and notices; files of a folder go by their stem."""
+    rows = [(t, k, False) for k, t in texts.items()] + [(t, k, True) for k, ts in notices.items() for t in ts]
+    table = literal_rows(spark, ("text", "license_id", "notice"), rows) if rows else spark.createDataFrame([], "text string, license_id string, notice boolean")
+    if folder is not None:
+        found = spark.read.text(folder, wholetext=True)
+        stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[A-Za-z]+)?$", 1)
+        table = table.unionByName(found.select(F.col("value").alias("text"), stem.alias("license_id"), F.lit(False).alias("notice")))
     return table.groupBy(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "notice").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", texts: dict[str, str] = TEXTS, notices: dict[str, tuple[str, ...]] = NOTICES, folder: str | None = None) -> DataFrame:
     """One row per input row: id, canonical_sha256, canonical_chars, license_id, notice_ids (sorted, distinct)."""
-    table = known(df.sparkSession)
-    whole = table.where("not notice").select(F.col("digest").alias("canonical_sha256"), "license_id")
-    # A dozen fixed notices: their digests become a literal map, and the lines of a row are looked up in place.
-    notices = F.create_map(*[F.lit(x) for r in table.where("notice").collect() for x in (r["digest"], r["license_id"])])
+    whole = known(df.sparkSession, texts, {}, folder).select(F.col("digest").alias("canonical_sha256"), "license_id")
+    # A dozen notices: their digests become a literal map, and the lines of a row are looked up in place.
+    fixed = known(df.sparkSession, {}, notices).collect() if notices else []
+    notice_of = F.create_map(*[F.lit(x) for r in fixed for x in (r["digest"], r["license_id"])]).cast("map<string,string>")
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.lower(x).rlike(NOTICE_HEAD))
     digests = F.transform(lines, lambda x: F.sha2(canonical(x).cast("binary"), 256))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(digests, lambda d: F.try_element_at(notices, d)), lambda x: x.isNotNull())))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(digests, lambda d: F.try_element_at(notice_of, d)), lambda x: x.isNotNull())))
     form = let(canonical(F.col(text)), lambda x: F.struct(F.sha2(x.cast("binary"), 256).alias("canonical_sha256"), F.length(x).cast("long").alias("canonical_chars")))
     out = df.select(F.col(id_col), form.alias("form"), found.alias("notice_ids")).select(id_col, "form.*", "notice_ids")
-    out = out.join(F.broadcast(whole), "canonical_sha256", "left")
+    out = out.join(F.broadcast(whole) if folder is None else whole, "canonical_sha256", "left")  # texts that the driver holds
     return out.select(id_col, "canonical_sha256", "canonical_chars", F.when(F.col("canonical_chars") > 0, F.col("license_id")).alias("license_id"), "notice_ids")

@@ -17,7 +17,10 @@ def _list(xs) -> str:
 
 def _canonical(x: str) -> str:
     """DuckDB expression of licenses.canonical."""
-    t = f"regexp_replace(lower(coalesce({x}, '')), {_quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
+    t = f"coalesce({x}, '')"
+    for word in licenses.PROSE:
+        t = f"replace({t}, 'Copyright {word}', 'copyright {word}')"
+    t = f"lower(regexp_replace({t}, {_quoted(licenses.COPYRIGHT_LINE)}, '', 'g'))"
     t = f"trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     t = f"' ' || replace({t}, ' ', '  ') || ' '"
     for wrong, right in licenses.SPELLINGS.items():

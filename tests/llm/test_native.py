@@ -46,6 +46,32 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_of_files(spark, tmp_path):
+    """Comment marks, wrapped lines, name-only copyright lines, every known text, and a folder of one's own."""
+    def commented(t, mark):
+        return "\n".join(mark + line for line in t.split("\n"))
+
+    mit = licenses.MIT.replace("Copyright (c) <year> <copyright holders>", "Copyright Jane Doe and others")
+    rows = [("MIT", commented(licenses.MIT, "# ")), ("MIT", "/*\n" + commented(licenses.MIT, " * ") + "\n */"), ("MIT", mit), ("MIT", commented(mit, "// ")), ("MIT", mit.replace(". ", ".\n"))]
+    rows += [(k, t) for k, t in licenses.TEXTS.items()] + [(k, commented(t, "-- ")) for k, t in licenses.TEXTS.items()]
+    (tmp_path / "Own-1.0.txt").write_text("You may do as you like.\nCopyright Me\n")
+    rows += [("Own-1.0", "# Copyright (c) 2020 You\n# you may do as YOU like"), (None, "You may do as you like, mostly."), (None, "x " * 400_000)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "doc_id long, want string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(df, folder=str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
+    none = licenses.scan(df.limit(3), texts={}, notices={})
+    assert {(r["license_id"], tuple(r["notice_ids"])) for r in none.collect()} == {(None, ())}
+
+
+def test_copyright_lines_in_prose(spark):
+    """Lines of prose that begin with the word stay."""
+    kept = ["Copyright Holders may\nchange this", "copyright jane doe", "The Copyright Law", "copyright notice, this list of conditions"]
+    gone = ["Copyright Jane Doe", "  * Copyright (c) 2020, X", "\u00a9 2021 Y", "(c) Z", "## Copyright 2020 Q", "All rights reserved."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(kept + gone)], "i int, t string").select("i", licenses.canonical(F.col("t")).alias("c"))
+    got = {r["i"]: r["c"] for r in df.collect()}
+    assert all(got[i] for i in range(len(kept))) and not any(got[i] for i in range(len(kept), len(kept + gone)))
+
+
 def test_known_licenses_differ(spark):
     rows = licenses.known(spark).collect()
     assert len({(r["digest"], r["notice"]) for r in rows}) == len(rows) and len([r for r in rows if not r["notice"]]) == len(licenses.TEXTS)
