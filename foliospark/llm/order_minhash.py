@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import join_back, materialise, salted_join
-from .shingles import WordHash, components, grams, may_hold, maybe_in, mix, occurrences
+from .shingles import components, grams, may_hold, maybe_in, mix, occurrences, word_hashes
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 16
 #: Further sketches, of shorter shingles: edits spread evenly at the similarity leave no run of five words whole.
@@ -48,8 +48,13 @@ CHUNK = 1 << 20
 _GAPS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
 
+def spaced(text: str | None) -> bytes:
+    """A text's words with spaces for all else between them."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_GAPS)
+
+
 def text_words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_GAPS).split()
+    return spaced(text).split()
 
 
 @functools.cache
@@ -160,20 +165,19 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows(pdf: pd.DataFrame) -> Iterator[tuple]:
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
-            found = text_words(t)  # of one text at a time: a batch of words would be many times its text
-            h = hashes.of(found)
+            data = spaced(t)
+            h = word_hashes(data)
             exact = profile(h)
-            yield i, len(found), xxhash.xxh3_128_digest(b" ".join(found)) if found else None, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], exact, outline(exact)
+            digest = xxhash.xxh3_128_digest(b" ".join(data.split())) if len(h) else None
+            yield i, len(h), digest, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], exact, outline(exact)
 
-    hashes = WordHash()
     for pdf in batches:
         yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "profile", "outline"])
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHash()
     for pdf in batches:
-        yield pd.DataFrame(((i, hashes.of(text_words(t)).astype(np.uint32).view(np.int32)) for i, t in zip(pdf["id"], pdf["text"], strict=True)), columns=["id", "vec"])
+        yield pd.DataFrame(((i, word_hashes(spaced(t)).astype(np.uint32).view(np.int32)) for i, t in zip(pdf["id"], pdf["text"], strict=True)), columns=["id", "vec"])
 
 
 def _aligned(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:

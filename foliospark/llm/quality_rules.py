@@ -81,7 +81,7 @@ def _repeat_words(w: Column) -> Column:
 def metrics(text: Column) -> Column:
     """struct of the base counts and of the ratios that rules speak of."""
     text = F.coalesce(text, F.lit(""))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    is_stop = lambda x: F.lower(F.rtrim(x, F.lit(".,;:!?"))).isin(*STOP_WORDS)  # noqa: E731  so many become a hash set
 
     def of(w: Column) -> Column:
         n = F.size(w).cast("long")
@@ -92,7 +92,7 @@ def metrics(text: Column) -> Column:
             (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             _repeat_words(w).alias("n_repeat_words"),
-            (F.size(w) - F.size(F.filter(w, lambda x: ~F.array_contains(stop, F.lower(F.rtrim(x, F.lit(".,;:!?"))))))).cast("long").alias("n_stop"),
+            F.size(F.filter(w, is_stop)).cast("long").alias("n_stop"),
         )
 
     return let(words(text), of)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,27 +15,46 @@ from ..runtime import ship
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, memoised up to a fixed number of words."""
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
 
-    LIMIT = 1 << 17
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+#: Bytes hashed at once.
+SLICE = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, x % (1 << 64), dtype=np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words between spaces: polynomials of their bytes, from prefix sums over slices of whole words."""
+    out, at = [np.zeros(0, dtype=np.uint64)], 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= SLICE else data.rfind(b" ", at, at + SLICE) + 1
+        if end <= at:  # a word longer than a slice
+            end = data.find(b" ", at + SLICE) + 1 or len(data)
+        part = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        edge = np.diff(np.r_[False, part != 32, False].view(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        powers, back = _powers(SLICE) if len(part) <= SLICE else _powers.__wrapped__(len(part))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[part] * powers[: len(part)])])
+        out.append(mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(out)
+
+
+class WordHash:
+    """64-bit hashes of words, which hold no space."""
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return word_hashes(b" ".join(found))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

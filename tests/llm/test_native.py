@@ -109,6 +109,21 @@ def test_quality_rules_are_a_table(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_quality_odd_tables(spark, odd_docs, no_docs):
+    """Empty table, columns with the names of figures, a very long text."""
+    got = quality_rules.apply_rules(odd_docs.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(1)))
+    assert got.count() == odd_docs.count() and dict(got.dtypes)["n_words"] == "bigint"
+    assert quality_rules.apply_rules(no_docs).count() == 0
+    text = " ".join(f"w{i % 70_001}" for i in range(140_002))
+    r = quality_rules.apply_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (140_002, 140_002, True)
+
+
+def test_mixing_long_text(spark):
+    df = spark.createDataFrame([(1, "a b " * 300_000, "s"), (2, "c", "s")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == {1: 600_000, 2: 1}
+
+
 def test_quality_keeps_clean_prose(spark):
     got = QUERIES["op2_quality_rules"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").where("not base_failed")
     assert got.count() > 200 and got.where("not kept").count() == 0
