@@ -45,14 +45,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{scratch_dir.own.name}"
 
 
+#: Scratch tables that this process has written and not removed.
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the shared folder; it goes when the driver's JVM ends."""
+    """A new path in the shared folder; it goes when the driver's JVM ends, or before by ``Scratch``."""
     path = f"{scratch_dir(spark)}/foliospark-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _WRITTEN.append(path)
     return path
 
 
+class Scratch:
+    """Scratch tables of a step: ``end`` removes those written since it began, but for the given ones.
+
+    To be called when the given tables are written and nothing else of the step is read any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.begun = spark, len(_WRITTEN)
+
+    def end(self, *keep: DataFrame) -> None:
+        kept = {getattr(df, "scratch_path", None) for df in keep}
+        for path in [p for p in _WRITTEN[self.begun :] if p not in kept]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _WRITTEN.remove(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage once, and survives a lost executor.
 
@@ -60,4 +82,6 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
