@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import join_back, materialise, shuffle_parts
+from .common import Scratch, join_back, materialise, shuffle_parts
 
 BLOCK = 16_384
 _NAMED = "row long, pos long, n long, id string, sha string, part int, name long, h long, edge string, key string"
@@ -104,10 +104,12 @@ def identities(df: DataFrame, id_col: str = "doc_id", text: str = "text", block:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input row: the id, keep_id, group_size, kept, text_sha256. The id column is an integer."""
     kind = df.schema[id_col].dataType
+    scratch = Scratch(df.sparkSession)
     ids = materialise(identities(df, id_col, text, block).withColumn("id", F.col("id").cast(kind)))
+    scratch.end(ids)
     ids = ids.select("id", "sha", F.struct("level", "name").alias("same"))
     groups = ids.groupBy("same").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
-    return join_back(ids, groups, "same", ids.count()).select(
+    return join_back(ids, groups, "same").select(
         F.col("id").alias(id_col), "keep_id", F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 

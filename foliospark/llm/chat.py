@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, salted_join, words
+from .common import materialise, words
 
 #: The template's marks, and control strings of common templates that texts must not forge.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -85,7 +85,7 @@ def format_windows(df: DataFrame, budget: int = 1024, history: int = 128) -> Dat
     near = t.where(~system).select("k", "pos", "before").join(back, ["k", "pos"]).where(F.col("upto") - F.col("before") <= history).select(*span, "pos")
     columns = (*span, "conv_id", "pos", "new", "role", "text", "tokens")
     old = t.drop("cell", "big").join(near, ["k", "pos"]).withColumn("new", F.lit(False)).select(*columns)
-    lead = salted_join(starts.select(*span), t.where(system).drop("cell", "big"), "k").withColumn("new", F.lit(False)).select(*columns)
+    lead = starts.select(*span).join(t.where(system).drop("cell", "big"), "k").withColumn("new", F.lit(False)).select(*columns)
     fresh = t.withColumn("new", F.lit(True)).select(*columns)
     every = fresh.unionByName(old).unionByName(lead)
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let  # noqa: F401
-from ..runtime import materialise  # noqa: F401
+from ..runtime import Scratch, materialise  # noqa: F401
 
 #: Words are maximal runs of characters other than space, \t, \n, \v, \f and \r.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -35,33 +35,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: A key is hot if it has more than one in so many of all rows, so fewer keys than that are hot.
-FEW = 500
+def join_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Inner join of written rows with what was summed up of them by key.
 
-
-def join_back(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of rows with groups, of which each key has one row with its number of rows, ``size``.
-
-    At most ``FEW`` keys can have more than ``total / FEW`` of the ``total`` rows. They are broadcast, so a hot key isn't
-    gathered in one task.
-    """
-    names = [c for c in groups.columns if c != key]
-    hot = groups.where(F.col("size") > total / FEW)
-    own = F.struct(*names)
-    both = rows.join(F.broadcast(hot.select(key, own.alias("hot__"))), key, "left")
-    cold = both.where("hot__ is null").drop("hot__").join(groups, key)
-    return both.where("hot__ is not null").select(*rows.columns, *[F.col(f"hot__.{c}").alias(c) for c in names]).unionByName(cold.select(*rows.columns, *names))
-
-
-def salted_join(rows: DataFrame, side: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Inner join of rows with side, of which each key has one row, with the rows of a hot key dealt over ``salts`` tasks.
-
-    Rows should be cheap to read twice: they are counted by key first. Of side's rows only those of hot keys, fewer than
-    ``FEW``, are repeated.
+    The groups are written before. So neither side of the join holds an aggregate, and Spark deals the rows of a hot key
+    over several tasks (its adaptive skew join), which it can't where the groups are summed in the same stage.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size__"))
-    hot = F.broadcast(counts.where(F.col("size__") > max(rows.count(), 1) / FEW).select(key, F.lit(True).alias("hot__")))
-    dealt = rows.join(hot, key, "left").withColumn("salt__", F.when(F.col("hot__"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0))
-    many = F.when(F.col("hot__"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = side.join(hot, key, "left").withColumn("salt__", F.explode(many))
-    return dealt.drop("hot__").join(spread.drop("hot__"), [key, "salt__"]).drop("salt__")
+    return rows.join(materialise(groups), key)

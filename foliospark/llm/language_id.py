@@ -82,8 +82,9 @@ def train(df: DataFrame, text: str, label: str, buckets: int = BUCKETS, smooth:
     labelled = df.where(F.col(label).isNotNull()).select(F.col(label).alias("lang"), F.col(text).alias("text"))
     total = labelled.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     total = materialise(total)
-    if total.select("lang").distinct().count() * buckets > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS // buckets} languages; use fewer buckets")
+    while total.select("lang").distinct().count() * buckets > MAX_CELLS:  # the halves of a table of n-grams fall together
+        buckets //= 2
+        total = total.groupBy("lang", (F.col("bucket") % buckets).alias("bucket")).agg(F.sum("n").alias("n"))
     got = total.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).collect()
     langs = sorted(r["lang"] for r in got)
     counts = np.zeros((len(langs), buckets))
@@ -120,7 +121,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
 
             for i, t in enumerate(texts):
                 if t and langs:
-                    for ids in ngrams(t):
+                    for ids in ngrams(t, len(table)):
                         pending.append(ids)
                         owners.append(i)
                         sizes[i] += len(ids)

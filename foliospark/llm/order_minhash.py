@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import join_back, materialise, salted_join
+from .common import Scratch, join_back, materialise
 from .shingles import components, grams, may_hold, maybe_in, mix, occurrences, word_hashes
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 16
@@ -222,7 +222,7 @@ def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity
     named = materialise(named)
     open_ = named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
     open_ = named.join(open_, "h")
-    rows = salted_join(open_, members.select("id", "n", "sketch", "profile", "outline"), "id")
+    rows = open_.join(members.select("id", "n", "sketch", "profile", "outline"), "id")
     rows = rows.withColumns({
         "sketch": F.when(F.col("size") > CROWD, F.col("sketch")), "profile": F.when(F.col("size") > MANY, F.col("profile")).otherwise(F.col("outline")),
     })
@@ -346,7 +346,7 @@ def _bits(own: np.ndarray, v: int) -> np.ndarray:
 def possible(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) that word counts and outlines allow."""
     side = lambda c: members.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("outline").alias(f"o{c}"))
-    both = salted_join(salted_join(pairs, side("a"), "a"), side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     near = both.where(F.greatest("na", "nb") - F.least("na", "nb") <= F.greatest("na", "nb") * (1 - similarity) + 1e-6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,7 +362,7 @@ def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = may_hold(df.where("id is not null"), "id", ends).join(ends, "id", "left_semi")
     vecs = materialise(some.dropDuplicates(["id"]).mapInPandas(_vectors, "id long, vec array<int>"))
-    both = salted_join(salted_join(pairs, vecs.toDF("a", "va"), "a"), vecs.toDF("b", "vb"), "b")
+    both = pairs.join(vecs.toDF("a", "va"), "a").join(vecs.toDF("b", "vb"), "b")
     return materialise(both.select("a", "b", "va", "vb").mapInPandas(lambda it: _aligned(it, similarity), "a long, b long"))
 
 
@@ -389,18 +389,23 @@ def once(known: DataFrame, copies: DataFrame, again: DataFrame) -> DataFrame:
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (least id of its class), class_size, kept (it is that least id)."""
     ship(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary, outline binary"))
+    wide = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary, outline binary"))
+    rows = materialise(wide.select("id", "digest"))
     known = rows.where("id is not null and digest is not null")
-    texts = materialise(known.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")))
-    copies = join_back(known.select("id", "digest"), texts.withColumnRenamed("id", "least"), "digest", known.count()).where("id <> least").select("id").distinct()
+    texts = materialise(known.groupBy("digest").agg(F.min("id").alias("id")))
+    copies = known.join(texts.select("digest", F.col("id").alias("least")), "digest").where("id <> least").select("id").distinct()
     again = known.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id")
-    members = once(known, materialise(copies), materialise(again))
+    members = materialise(once(wide.where("id is not null and digest is not null"), materialise(copies), again))
+    scratch.end(rows, texts, members)
     root = components(links(df, members, similarity))
-    named = texts.select("digest", "id", "size").join(root, F.col("id") == F.col("node"), "left").select("digest", "size", F.coalesce("root", "id").alias("class_id"))
-    alone = rows.where("id is not null and digest is null").select("id", F.col("id").alias("class_id"))
-    ids = materialise(join_back(known.select("id", "digest"), named, "digest", known.count()).select("id", "class_id").unionByName(alone))
-    sizes = ids.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
-    out = join_back(ids, sizes, "class_id", ids.count()).select("id", "class_id", F.col("size").alias("class_size"), (F.col("id") == F.col("class_id")).alias("kept"))
-    none = rows.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    named = materialise(texts.select("digest", "id").join(root, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("root", "id").alias("class_id")))
+    alone = rows.where("id is null or digest is null").select("id", F.col("id").alias("class_id"))
+    ids = materialise(known.join(named, "digest").select("id", "class_id").unionByName(alone))
+    scratch.end(ids)
+    known = ids.where("id is not null")
+    sizes = known.groupBy("class_id").agg(F.count(F.lit(1)).alias("size"))
+    out = join_back(known, sizes, "class_id").select("id", "class_id", F.col("size").alias("class_size"), (F.col("id") == F.col("class_id")).alias("kept"))
+    none = ids.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionByName(none).withColumnRenamed("id", id_col)

@@ -24,9 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out (held_out false) and not learnt from."""
     docs = documents(spark, sf_dir)
-    held = crc_mod(F.col("doc_id"), 3) == 1
-    model = language_id.train(docs.where(~held), "text", "lang")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~held), "text", "lang")
     return language_id.predict(docs, model, carry=(F.col("doc_id"), held.alias("held_out")))
 
 
@@ -36,10 +37,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null doc_id is not held out (held_out false) and has no label."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 4) != 2))
-    held = crc_mod(F.col("doc_id"), 4) == 2
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     return toxicity.score(docs, model, carry=(F.col("doc_id"), held.alias("held_out")))
 
 

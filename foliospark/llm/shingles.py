@@ -144,10 +144,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(cur)
     while before[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("size"))
-        large = join_back(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
-        small = join_back(large, low, "u", 2 * before[0]).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = join_back(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialise(large)
+        small = join_back(large, large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         cur = materialise(small.where("u <> v").distinct())
         after = state(cur)
         if after == before:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import join_back, materialise
+from .common import Scratch, join_back, materialise
 from .shingles import WordHash, grams, may_hold, mix
 
 WINDOW, ANCHOR = 50, 8
@@ -262,26 +262,26 @@ def _hot_windows(hot: DataFrame) -> DataFrame:
     rows = hot.select(*_CONTEXT, "least", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "window"))
     rows = materialise(rows)
     first = rows.groupBy("window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hit = join_back(rows, first, "window", rows.count()).where("first < least")
+    hit = join_back(rows, first, "window").where("first < least")
     return hit.groupBy(*_CONTEXT).agg(F.collect_list("i").alias("at"))
 
 
 def repeated(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """(id, text) and the contexts of _anchors to (id, hits): contexts with repeated windows, and which (null: all)."""
     both = anchors.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    cand = materialise(join_back(anchors, both, "a", anchors.count()).select("id", "a", F.struct(*_CONTEXT).alias("x")))
+    cand = materialise(join_back(anchors, both, "a").select("id", "a", F.struct(*_CONTEXT).alias("x")))
     distinct = materialise(cand.groupBy("x").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")))
     # an anchor with one context: its windows repeat wherever the context is found again
     own = distinct.select("x.a", "x", "least")
     crowd = own.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
-    several = join_back(own, crowd, "a", own.count()).where("size > 1").select("x.*", "least", (F.col("size") > HOT).alias("hot"))
+    several = join_back(own, crowd, "a").where("size > 1").select("x.*", "least", (F.col("size") > HOT).alias("hot"))
     wanted = materialise(several.groupBy(F.col("least").alias("i")).agg(F.collect_list(F.struct(*_CONTEXT, "hot")).alias("wanted")))
     source = may_hold(docs, "id", wanted.select("i")).dropDuplicates(["id"]).join(wanted, F.col("id") == F.col("i")).select("id", "text", "wanted")
     cut = materialise(source.mapInPandas(_stretches, _CUT))
     calm = cut.where("words is not null").select(*_CONTEXT, "least", "words").repartition("a").sortWithinPartitions("a")
     found = calm.mapInPandas(_shards, "a long, c1 long, c2 long, n int, at array<int>").unionByName(_hot_windows(cut.where("words is null")))
     # a document after the first to hold a context repeats all of it; the first repeats what an earlier one had
-    later = join_back(cand, distinct, "x", cand.count()).where("id > least").select("id", "x.c1", "x.c2", F.lit(None).cast("array<int>").alias("at"))
+    later = join_back(cand, distinct, "x").where("id > least").select("id", "x.c1", "x.c2", F.lit(None).cast("array<int>").alias("at"))
     first = found.select(F.struct(*_CONTEXT).alias("x"), "at").join(distinct, "x").select(F.col("least").alias("id"), "x.c1", "x.c2", "at")
     return later.unionByName(first).groupBy("id").agg(F.collect_list(F.struct("c1", "c2", "at")).alias("hits"))
 
@@ -291,7 +291,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFram
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     rows = materialise(docs.mapInPandas(_anchors, "id long, a long, c1 long, c2 long, n int, n_words long, sha string"))
+    scratch = Scratch(df.sparkSession)
     hits = materialise(repeated(docs.where("id is not null"), rows.where("a is not null").select("id", *_CONTEXT)).withColumnRenamed("id", "i"))
+    scratch.end(hits)
     touched = may_hold(docs.where("id is not null"), "id", hits.select("i")).dropDuplicates(["id"]).join(hits, F.col("id") == F.col("i"))
     changed = touched.select("id", "text", "hits").mapInPandas(_cut, "id long, n_removed long, kept_text string, kept_sha256 string").withColumnRenamed("id", "i")
     out = rows.where("a is null").select("id", "n_words", "sha").join(changed, F.col("id") == F.col("i"), "left")

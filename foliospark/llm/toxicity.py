@@ -11,7 +11,8 @@ its n-grams, however long it is: slices of ``SLICE`` characters bound the memory
 
 Defined results: null and empty texts score what the intercept gives; without both classes in the labels all score 0;
 several labels of a text are so many training rows; rows with null labels are not used; repeated rows are scored alone;
-an empty table gives an empty table; extra columns are ignored unless carried.
+an empty table gives an empty table; extra columns are ignored unless carried; a carried column
+must not be named score or predicted.
 """
 
 from __future__ import annotations

@@ -84,6 +84,15 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert none[0] == [] and {r["lang_pred"] for r in language_id.predict(odd_docs, none).collect()} == {"und"}
 
 
+def test_language_of_many_languages(spark, monkeypatch):
+    """A table that would be too large has fewer buckets and still tells languages apart."""
+    texts = {f"l{k}": " ".join(chr(0x4E00 + 40 * k + (i * 7) % 30) * 3 for i in range(40)) for k in range(12)}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "lang string, text string")
+    monkeypatch.setattr(language_id, "MAX_CELLS", 12 * 600)
+    langs, table = language_id.train(df, "text", "lang")
+    assert table.shape == (12, 512) and {(r["lang"], r["lang_pred"]) for r in language_id.predict(df, (langs, table), carry=(F.col("lang"),)).collect()} == {(k, k) for k in texts}
+
+
 def test_language_does_not_depend_on_slices():
     text = "Das ist ein langer Text, même avec des accents. " * 4000
     whole = np.bincount(np.concatenate(list(language_id.ngrams(text))), minlength=language_id.BUCKETS)
