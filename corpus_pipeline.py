@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import block_naming, byte_bpe, language_id, mixing, order_minhash
-from foliospark.llm.common import crc_mod, documents, materialise
+from foliospark.llm.common import Scratch, crc_mod, documents, materialise
 from foliospark.llm.queries import bpe_files
 from foliospark.llm.shingles import without
 
@@ -66,9 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on the way goes when its result is written."""
     docs = documents(spark, sf_dir)
+    scratch = Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs)
+            scratch.end(docs)
     return docs
