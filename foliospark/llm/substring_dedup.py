@@ -10,8 +10,9 @@ whole corpus, which has no size bound, so its automata cannot be broadcast; they
 3. A shard builds a suffix automaton of its contexts, in the order of their ids, so that each state knows the first
    document that holds its words. The contexts are then streamed through it for matching statistics, cut at WINDOW
    words: a window whose state was first seen in a smaller document repeats.
-4. An anchor with more than ``HOT`` different contexts is too much for one task. The windows of its contexts are rows of
-   their own, grouped by 128 bits of their words, which finds the same.
+4. An anchor with more than ``HOT`` different contexts is too much for one task. Runs of ``RUN`` windows of its contexts
+   are rows of their own: those whose common words another context has too are taken apart into windows, which are
+   grouped by 128 bits of their words. That finds the same.
 5. Covered words are removed while the documents that have any are streamed once more.
 
 Anchors (64 bits) only choose what is compared. Contexts, and the windows of step 4, are equal if 128 bits
@@ -41,7 +42,9 @@ WINDOW, ANCHOR = 50, 8
 #: Different contexts of one anchor that a task takes; words of a shard's automaton.
 HOT, SHARD_WORDS = 1000, 60_000
 _CONTEXT = ("a", "c1", "c2", "n")
-_CUT = "a long, c1 long, c2 long, n int, least long, words string, w1 array<long>, w2 array<long>"
+#: Windows, by the anchor's place in them, that are looked for together at first.
+RUN = 8
+_CUT = "a long, c1 long, c2 long, n int, least long, words string, runs array<struct<core:struct<x:long,y:long>,windows:array<struct<i:int,x:long,y:long>>>>"
 _B = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -76,16 +79,16 @@ def stretch_hashes(h: np.ndarray, from_: np.ndarray, to: np.ndarray, base: np.ui
 
 
 def contexts(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a document's hashed words: anchors, context hashes (2), numbers of windows, first windows."""
+    """Of a document's hashed words: anchors, context hashes (2), numbers of windows, first windows, anchors' places."""
     if len(h) < WINDOW:
-        return (np.zeros(0, dtype=np.int64),) * 5
+        return (np.zeros(0, dtype=np.int64),) * 6
     g = grams(h, ANCHOR)
     chosen = least_in_windows(g, WINDOW - ANCHOR + 1)
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
     count = np.diff(np.r_[first, len(chosen)])
     end = first + count - 1 + WINDOW
     c1, c2 = (stretch_hashes(mix(h + b), first, end, b) for b in _B)
-    return g[chosen[first]].view(np.int64), c1.view(np.int64), c2.view(np.int64), count, first
+    return g[chosen[first]].view(np.int64), c1.view(np.int64), c2.view(np.int64), count, first, chosen[first] - first
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,30 +114,41 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts, cut from the documents that are first to hold them: their words, or the hashes of their windows if hot."""
+    """Contexts, cut from the documents that are first to hold them: their words, or the runs of their windows if hot."""
     hashes = WordHash()
     for pdf in batches:
         out = []
         for i, t, wanted in zip(pdf["id"], pdf["text"], pdf["wanted"], strict=True):
             found = text_words(t)
             h = hashes.of(found)
-            _, c1, c2, _, first = contexts(h)
-            at = {(x, y): f for x, y, f in zip(c1.tolist(), c2.tolist(), first.tolist(), strict=True)}
+            _, c1, c2, _, first, place = contexts(h)
+            at = {(x, y): (f, p) for x, y, f, p in zip(c1.tolist(), c2.tolist(), first.tolist(), place.tolist(), strict=True)}
             for x in wanted:
-                f = at[x["c1"], x["c2"]]
-                row = (x["a"], x["c1"], x["c2"], x["n"], i)
+                f, p = at[x["c1"], x["c2"]]
+                row, end = (x["a"], x["c1"], x["c2"], x["n"], i), f + x["n"] - 1 + WINDOW
                 if x["hot"]:
-                    out.append((*row, None, *window_hashes(h[f : f + x["n"] - 1 + WINDOW])))
+                    out.append((*row, None, window_runs(h[f:end], p)))
                 else:
-                    out.append((*row, b" ".join(found[f : f + x["n"] - 1 + WINDOW]).decode("utf-8", "surrogatepass"), None, None))
-        yield pd.DataFrame(out, columns=[*_CONTEXT, "least", "words", "w1", "w2"])
+                    out.append((*row, b" ".join(found[f:end]).decode("utf-8", "surrogatepass"), None))
+        yield pd.DataFrame(out, columns=[*_CONTEXT, "least", "words", "runs"])
 
 
-def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each window of hashed words."""
-    first = np.arange(len(h) - WINDOW + 1)
-    w1, w2 = (stretch_hashes(mix(h + b), first, first + WINDOW, b) for b in _B)
-    return w1.view(np.int64), w2.view(np.int64)
+def window_runs(h: np.ndarray, place: int) -> list[dict]:
+    """Windows of a context's hashed words in runs, with two hashes each, and of the words that all windows of a run have.
+
+    Equal windows have the anchor at one place, so they are in runs of the same number, whose cores are equal.
+    """
+    n = len(h) - WINDOW + 1
+    i = np.arange(n)
+    run = (place - i) // RUN
+    core = place - np.unique(run)[::-1] * RUN  # in the order of the windows
+    x, y = (stretch_hashes(mix(h + b), i, i + WINDOW, b).view(np.int64).tolist() for b in _B)
+    cx, cy = (stretch_hashes(mix(h + b), core, core + WINDOW - RUN + 1, b).view(np.int64).tolist() for b in _B)
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]).tolist()
+    return [
+        {"core": {"x": a, "y": b}, "windows": [{"i": k, "x": x[k], "y": y[k]} for k in range(lo, hi)]}
+        for a, b, lo, hi in zip(cx, cy, starts, [*starts[1:], n], strict=True)
+    ]
 
 
 class SuffixAutomaton:
@@ -238,7 +252,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, t, hits in zip(pdf["id"], pdf["text"], pdf["hits"], strict=True):
             found = text_words(t)
-            _, c1, c2, n, first = contexts(hashes.of(found))
+            _, c1, c2, n, first, _ = contexts(hashes.of(found))
             hit = {(x["c1"], x["c2"]): x["at"] for x in hits}
             edge = np.zeros(len(found) + 1, dtype=np.int64)
             for x, y, windows, f in zip(c1.tolist(), c2.tolist(), n.tolist(), first.tolist(), strict=True):
@@ -258,12 +272,14 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hot_windows(hot: DataFrame) -> DataFrame:
-    """(context, at) of repeated windows of crowded anchors, by grouping windows as rows."""
-    rows = hot.select(*_CONTEXT, "least", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "window"))
-    rows = materialise(rows)
-    first = rows.groupBy("window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    """(context, at) of repeated windows of crowded anchors, by grouping runs and then windows as rows."""
+    runs = materialise(hot.select(F.struct(*_CONTEXT).alias("c"), "least", F.explode("runs").alias("r")).select("c", "least", "r.*"))
+    common = runs.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core")
+    rows = join_back(runs, common, "core").select("c", "least", F.explode("windows").alias("w"))
+    rows = materialise(rows.select("c", "least", "w.i", F.struct("w.x", "w.y").alias("window")))
+    first = rows.groupBy("window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("window", "first")
     hit = join_back(rows, first, "window").where("first < least")
-    return hit.groupBy(*_CONTEXT).agg(F.collect_list("i").alias("at"))
+    return hit.groupBy("c").agg(F.collect_list("i").alias("at")).select("c.*", "at")
 
 
 def repeated(docs: DataFrame, anchors: DataFrame) -> DataFrame:
