@@ -186,6 +186,20 @@ _PARTS = {
     "image_blocks": f"""SELECT {_P}, 'p' || page_number || '_img' || img_index AS image_id, 'out/page' || page_number || '_img' || img_index || '.png' AS image_path, ocr_text,
       CASE WHEN ocr_text <> '' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence, 'png' AS format, b[1] AS x0, b[2] AS y0, b[3] AS x1, b[4] AS y1 FROM pictures""",
     "image_counters": f"SELECT {_P}, 3::BIGINT AS images, 1::BIGINT AS images_with_text, 'p' || page_number || '_img0_text' AS block_id, 4 AS word_count FROM pictures WHERE img_index = 0",
+    "stage_counters": f"""
+      , boxes AS (
+        SELECT {_P}, x0, y0, x1, y1, char_count FROM direct UNION ALL SELECT {_P}, x0, y0, x1, y1, length(better) FROM accepted
+        UNION ALL SELECT {_P}, 0, 0, 576, 768, length('scan of page ' || page_number) FROM totals WHERE total_chars < 100 OR coverage < 20.0 OR page_number = 1),
+      free AS (
+        SELECT a.* FROM cells a JOIN (SELECT {_P} FROM pages_ LEFT JOIN boxes USING ({_P}) GROUP BY ALL HAVING coalesce(sum(char_count), 0) <= 200) USING ({_P})
+        WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.doc_id = a.doc_id AND b.page_number = a.page_number AND {_IOU} > 0.3)),
+      n AS (
+        SELECT {_P}, 1 AS a, 0 AS b, 0 AS c, 0 AS d FROM recognised UNION ALL SELECT {_P}, 0, 1, 0, 0 FROM accepted UNION ALL SELECT {_P}, 0, 0, 1, (cell % 2 = 0)::INT FROM free)
+      SELECT {_P}, coalesce(sum(a), 0)::BIGINT AS blocks_processed, coalesce(sum(b), 0)::BIGINT AS blocks_improved, coalesce(sum(c), 0)::BIGINT AS grid_regions,
+             coalesce(sum(d), 0)::BIGINT AS regions_with_text, 3::BIGINT AS images, 1::BIGINT AS images_with_text FROM pages_ LEFT JOIN n USING ({_P}) GROUP BY ALL""",
+    "hybrid_images": f"SELECT {_P}, method, 2::BIGINT AS images_count FROM routed",
+    "run_summary": """SELECT count(*) AS documents, sum(p)::BIGINT AS total_pages, sum(b)::BIGINT AS total_blocks, 0::BIGINT AS total_images, round(coalesce(avg(m) FILTER (m > 0), 0.0), 9) AS avg_confidence
+      FROM (SELECT count(*) AS p, sum(n_blocks) AS b, coalesce(avg(mean) FILTER (mean > 0), 0.0) AS m FROM totals GROUP BY doc_id)""",
     "mode_stage_matrix": _modes(),
     "job_status": "SELECT source AS job_id, count(*) AS total, count(*) FILTER (length(text) >= 100) AS results, count(*) FILTER (length(text) < 100) AS errors, 'completed' AS status FROM documents GROUP BY ALL",
     "output_names": "SELECT * FROM (VALUES ('a.pdf', 'a_intelligent.json'), ('a.b.PDF', 'a.b_intelligent.json'), ('noext', 'noext_intelligent.json'), ('.hidden', '.hidden_intelligent.json'), ('dir.d.pdf', 'dir.d_intelligent.json')) v(name, out)",
@@ -197,4 +211,4 @@ _PARTS["structured_blocks"] = f"""
     SELECT *, row_number() OVER (PARTITION BY {_P} ORDER BY seq) - 1 AS k, count(*) FILTER (cx < 192) OVER w AS l, count(*) FILTER (cx >= 192 AND cx < 384) OVER w AS m, count(*) FILTER (cx >= 384) OVER w AS r
     FROM direct WHERE char_count >= 3 WINDOW w AS (PARTITION BY {_P})))
 """
-ORACLE_SQL = {k: f"WITH {BASE} {v}" for k, v in _PARTS.items()}
+ORACLE_SQL = {k: f"WITH {BASE.rstrip()} {v}" for k, v in _PARTS.items()}

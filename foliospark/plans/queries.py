@@ -282,6 +282,31 @@ def image_counters(spark, sf):
     )
 
 
+def stage_counters(spark, sf):
+    """What the OCR stages of a thorough run ask for and get, per page."""
+    pages, cfg = layout.pages(spark, sf), PipelineConfig(mode="thorough")
+    direct, frame = stages.direct(pages), pages.select(*PAGE, "width", "height")
+    found = [direct, stages.block_ocr(direct, ENGINES.block, cfg), stages.full_page_ocr(stages.page_stats(frame, direct), ENGINES.page, cfg)]
+    cells = stages.sparse_cells(frame, stages.union_stages(*found), cfg)
+    images = stages.images(_images(spark, sf), ENGINES.image)
+    every = stages.union_stages(*found, stages.grid_ocr(cells, ENGINES.cell), stages.image_ocr(images))
+    weak = direct.where(stages.needs_ocr(cfg.confidence_threshold))
+    asked = [rows.select(*PAGE, F.lit(name).alias("counter")) for rows, name in ((weak, "blocks_processed"), (cells, "grid_regions"))]
+    return rollups.stage_counters(frame, every, asked, images)
+
+
+def hybrid_images(spark, sf):
+    """Images per page of the hybrid path; those with a place only."""
+    rows, _ = extraction.run_hybrid(layout.pages(spark, sf), raw_images=_images(spark, sf).where("bbox is not null"))
+    return rows.select(*PAGE, "method", "images_count")
+
+
+def run_summary(spark, sf):
+    pages = layout.pages(spark, sf)
+    docs = rollups.document_summary(rollups.page_summary(pages, stages.direct(pages)))
+    return rollups.run_summary(docs).withColumn("avg_confidence", F.round("avg_confidence", 9))
+
+
 def mode_stage_matrix(spark, sf):
     rows = [(m, s.block_ocr, s.full_page_ocr, s.grid_ocr, s.image_ocr) for m in (*MODES, "other") for s in [stages_of(m)]]
     return literal_rows(spark, "mode string, block_ocr boolean, full_page_ocr boolean, grid_ocr boolean, image_ocr boolean", rows)
@@ -326,7 +351,7 @@ QUERIES = {
         ocr_accept, full_page_trigger, grid_cells, grid_sparse, iou_pairs, similarity_pairs, dedup_exact, dedup_counters, dedup_priority_reversed, dedup_general,
         arabic_normalize, broken_words, ocr_artifacts, punct_spacing, post_process, post_process_counters, column_detect, column_assign, stage_stats_page,
         stage_stats_doc, stage_stats_maps, stage_summary, page_summary, document_summary, high_low_counts, stage_union, viewer_filters, hybrid_routing, hybrid_methods,
-        hybrid_full_text, structured_blocks, structured_counts, coordinate_scaling, image_blocks, image_counters, mode_stage_matrix, job_status, output_names,
+        hybrid_full_text, structured_blocks, structured_counts, coordinate_scaling, image_blocks, image_counters, stage_counters, hybrid_images, run_summary, mode_stage_matrix, job_status, output_names,
         seven_stages, json_roundtrip,
     )
 }
