@@ -17,10 +17,10 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to the executors, once per application, for functions that run in Python there.
 
-    Also bounds the bytes of an Arrow batch, unless the session does: 10,000 long texts are much for one worker.
+    Also bounds the bytes of an Arrow batch, unless the session does: 10,000 long texts are much for one worker. The setting holds for the session.
     """
     if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's default
-        spark.conf.set(BATCH_BYTES, "8m")
+        spark.conf.set(BATCH_BYTES, "4m")
     app = spark.sparkContext.applicationId
     if getattr(ship, "app", None) == app:
         return
@@ -32,6 +32,21 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}-src", "zip", f"{folder}/tree"))
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers are kept between tasks, beside a JVM that grows."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -13,7 +13,7 @@ WIDTH, HEIGHT, LINES = 576, 768, 12
 def pages_from_texts(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """RAW_PAGES rows (the id keeps its type): 12 lines a page, in 1 + id % 3 columns."""
     lines = F.split(F.col(text), "\n")
-    docs = df.select(F.col(id_col).alias("doc_id"), lines.alias("lines")).where("lines is not null")
+    docs = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
     page = F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / LINES).cast("int")))
     pages = docs.select("doc_id", page.alias("p"), "lines").select("doc_id", "p", F.slice("lines", F.col("p") * LINES + 1, LINES).alias("lines"))
     columns = (1 + F.pmod("doc_id", F.lit(3))).cast("int")
