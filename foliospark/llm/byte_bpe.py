@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import give_back, ship
 
 BATCH = 1 << 20
 MEMO = 1 << 17
@@ -140,7 +140,7 @@ _OWN: dict[tuple, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
+    """One encoder per task and vocabulary."""
     raw, pattern = shared.value
     key = (hash(raw), len(raw), pattern)
     if key not in _OWN:
@@ -153,7 +153,7 @@ _TOKENS: dict[tuple, dict[int, bytes]] = {}
 
 
 def _tokens(shared) -> dict[int, bytes]:
-    """Bytes of each id, once per Python worker; decoding needs no more."""
+    """Bytes of each id, once per task; decoding needs no more."""
     raw = shared.value[0]
     key = (hash(raw), len(raw))
     if key not in _TOKENS:
@@ -196,6 +196,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 if k < len(texts):
                     parts.append(own.encode(texts[k].as_py() or ""))
                     held += len(parts[-1])
+        del own
+        _OWN.clear()  # a worker lives longer than its task, and the next one may be of another operator
+        _TOKENS.clear()
+        give_back()
 
     schema = T.StructType([df.schema[c] for c in keep]).add(ids, T.ArrayType(T.IntegerType()))
     if decoded:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import give_back, ship
 from .common import Scratch, join_back, materialise
 from .shingles import components, grams, may_hold, maybe_in, mix, occurrences, word_hashes
 
@@ -173,6 +173,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "profile", "outline"])
+    give_back()
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,6 +266,7 @@ def _crossed(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.
         yield _frame(found)
     if held:
         yield _frame(_groups(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64), similarity, scratch))
+    give_back()
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
