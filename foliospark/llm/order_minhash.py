@@ -251,6 +251,8 @@ def _crossed(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.
     held: list[pd.DataFrame] = []
     scratch = np.zeros(1 << 16, dtype=bool)
     for pdf in batches:
+        if not len(pdf):
+            continue
         key = pdf[list(_GROUP)].to_numpy(dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         found: list[tuple] = []
