@@ -37,18 +37,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The merges by their definition; used for pairs of tokens only."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    """The merges by their definition, least rank first and leftmost of equal ones; used for pairs of tokens only."""
+    parts, get, none = [piece[i : i + 1] for i in range(len(piece))], ranks.get, 1 << 60
+    found = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while found and (least := min(found)) < none:
+        i = found.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del found[i]
+        if i < len(found):
+            found[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            found[i - 1] = get(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
 class Encoder(dict):
-    """Maps a piece of text to the tuple of its ids; the dict is the memo."""
+    """Maps a piece of text to the tuple of its ids; the dict is the memo.
+
+    It has two generations of ``MEMO`` pieces: a full one becomes the old one, and what is found there moves on, so pieces
+    that are met again stay while others go.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
@@ -60,15 +68,21 @@ class Encoder(dict):
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, i in ranks.items():
             self.trie.add_word(token.decode("latin-1"), i)
-        self.get, self.reach, self.most = self.trie.get, self.trie.longest_prefix, max(map(len, ranks))
+        self.reach, self.most = self.trie.longest_prefix, max(map(len, ranks))
+        self.get = {token.decode("latin-1"): i for token, i in ranks.items()}.get
         self.lengths = {i: len(b) for i, b in self.tokens.items()}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.fits: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        self[piece] = ids
         return ids
 
     def _fits(self, a: int, b: int) -> bool:
@@ -79,15 +93,6 @@ class Encoder(dict):
         known = self.fits[(a << 32) + b] = merged(b"".join(self.tokens[i] for i in two), self.ranks) == two
         return known
 
-    def _longest(self, text: str, at: int) -> int:
-        """The longest token that begins at this place, or -1."""
-        text = text[at : at + self.most]
-        for n in range(self.reach(text), 0, -1):
-            i = self.get(text[:n], -1)
-            if i >= 0:
-                return i
-        return -1
-
     def _shorter(self, i: int) -> int:
         """The longest token that is a proper prefix of token i, or -1."""
         known = self.shorter.get(i)
@@ -100,23 +105,32 @@ class Encoder(dict):
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         if piece in self.ranks:
             return (self.ranks[piece],)
-        size, lengths, known, longest = len(piece), self.lengths, self.fits.get, self._longest
+        size, lengths, known, shorter, reach, get, most = len(piece), self.lengths, self.fits.get, self.shorter.get, self.reach, self.get, self.most
         text = piece.decode("latin-1")
         out: list[int] = []
         closed = set()
-        at, i, last = 0, longest(text, 0), -1
+        at, last, i = 0, -1, None
         while at < size:
+            if i is None:  # the longest token that begins here, or -1
+                ahead = text[at : at + most]
+                n = reach(ahead)
+                i = get(ahead[:n], -1)
+                while i < 0 and n > 0:
+                    n -= 1
+                    i = get(ahead[:n], -1)
             while i >= 0:
-                fits = known((last << 32) + i)
-                if fits is None:
-                    fits = self._fits(last, i)
-                if fits and at + lengths[i] not in closed:
-                    break
-                i = self._shorter(i)
+                if at + lengths[i] not in closed:
+                    fits = known((last << 32) + i)
+                    if fits is None:
+                        fits = self._fits(last, i)
+                    if fits:
+                        break
+                less = shorter(i)
+                i = self._shorter(i) if less is None else less
             if i >= 0:
                 out.append(i)
                 at += lengths[i]
-                last, i = i, longest(text, at) if at < size else -1
+                last, i = i, None
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte")
