@@ -163,22 +163,33 @@ def _encoder(shared) -> Encoder:
     return _OWN[key]
 
 
-_TOKENS: dict[tuple, dict[int, bytes]] = {}
+_TOKENS: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def _tokens(shared) -> dict[int, bytes]:
-    """Bytes of each id, once per task; decoding needs no more."""
+def _tokens(shared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes one behind the other, and each id's first byte and length; decoding needs no more."""
     raw = shared.value[0]
     key = (hash(raw), len(raw))
     if key not in _TOKENS:
         _TOKENS.clear()
-        _TOKENS[key] = {int(b): base64.b64decode(a) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
+        token = {int(b): base64.b64decode(a) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
+        every = [token.get(i, b"") for i in range(max(token) + 1)]
+        size = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+        _TOKENS[key] = (np.frombuffer(b"".join(every), dtype=np.uint8), np.cumsum(size) - size, size)
     return _TOKENS[key]
 
 
 def _bytes_of(ids: Iterable[np.ndarray], shared) -> pa.Array:
-    token = _tokens(shared).__getitem__
-    return pa.array((b"".join(map(token, x.tolist())) for x in ids), type=pa.binary())
+    """What each row's ids stand for: bytes of all ids gathered at once."""
+    flat, first, size = _tokens(shared)
+    rows = list(ids)
+    every = np.concatenate([*rows, np.zeros(0, dtype=np.int32)])
+    long = size[every]
+    upto = np.r_[0, np.cumsum(long)]
+    data = flat[np.arange(upto[-1]) + np.repeat(first[every] - upto[:-1], long)]
+    ends = upto[np.cumsum([0, *map(len, rows)])].astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return whole.cast(pa.binary())
 
 
 def _broadcast(df: DataFrame, path: str, pattern: str):
