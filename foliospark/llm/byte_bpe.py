@@ -54,11 +54,11 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder(dict):
     """Maps a piece of text to the tuple of its ids; the dict is the memo.
 
-    It has two generations of ``MEMO`` pieces: a full one becomes the old one, and what is found there moves on, so pieces
+    It has two generations of ``memo`` pieces: a full one becomes the old one, and what is found there moves on, so pieces
     that are met again stay while others go.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
         import ahocorasick
         import regex
 
@@ -72,6 +72,7 @@ class Encoder(dict):
         self.get = {token.decode("latin-1"): i for token, i in ranks.items()}.get
         self.lengths = {i: len(b) for i, b in self.tokens.items()}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.memo = memo
         self.fits: dict[int, bool] = {}
         self.shorter: dict[int, int] = {}
 
@@ -79,7 +80,7 @@ class Encoder(dict):
         ids = self.old.pop(piece, None)
         if ids is None:
             ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        if len(self) >= MEMO:
+        if len(self) >= self.memo:
             self.old = dict(self)
             self.clear()
         self[piece] = ids
@@ -153,13 +154,13 @@ class Encoder(dict):
 _OWN: dict[tuple, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, memo: int) -> Encoder:
     """One encoder per task and vocabulary."""
     raw, pattern = shared.value
-    key = (hash(raw), len(raw), pattern)
+    key = (hash(raw), len(raw), pattern, memo)
     if key not in _OWN:
         _OWN.clear()
-        _OWN[key] = Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern)
+        _OWN[key] = Encoder({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern, memo)
     return _OWN[key]
 
 
@@ -198,16 +199,17 @@ def _broadcast(df: DataFrame, path: str, pattern: str):
         return df.sparkSession.sparkContext.broadcast((f.read(), pattern))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, memo: int = MEMO) -> DataFrame:
     """df with its text column replaced by ids, array<int> (a column of that name is replaced too).
 
     decoded: a column for what the ids decode to, made in the same Python workers rather than in a second set of them.
+    memo: pieces of each of the two generations that a worker remembers, some 230 bytes each.
     """
     shared = _broadcast(df, path, pattern)
     keep = [c for c in df.columns if c not in (text, ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(shared)
+        own = _encoder(shared, memo)
         for batch in batches:
             from_, parts, held = 0, [], 0
             texts = batch.column(batch.schema.get_field_index(text))
