@@ -21,6 +21,8 @@ from foliospark.llm.shingles import without
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document stays if its language has at least this share of the probability.
 LEAST_SCORE = 0.4
+#: Pieces that a tokenizing worker remembers, twice: fewer than by default, beside what earlier stages hold.
+MEMO = 1 << 15
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
     path, pattern = bpe_files()
-    back = byte_bpe.encode(docs.select(*COLUMNS), path, pattern, decoded="decoded")
+    back = byte_bpe.encode(docs.select(*COLUMNS), path, pattern, decoded="decoded", memo=MEMO)
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
