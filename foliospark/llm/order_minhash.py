@@ -10,8 +10,10 @@ All pairs of a bucket are candidates, at every size of bucket. First each member
 least and the greatest id of its buckets (linear in the members), which joins most copies into classes. Then the pairs of
 different classes are compared by bounds that never rule out a similar pair: word counts, and how many words one text has
 that the other lacks. That work grows with the square of a bucket of unlike texts, as operations on bits; members are
-dealt into blocks by length and hash, so a task holds at most two blocks, and only pairs within the bounds are written.
-Equal word sequences are one member from the start, so copies make no pairs at all.
+dealt into blocks by length and hash, so a task holds at most two blocks. There the pairs within the bounds are aligned at
+once, but for those that links found before already join, so a group writes fewer links than it has members and no
+pairs; only buckets of at most ``MANY`` members write pairs. Equal word sequences are one member from the start, so copies
+make no pairs at all.
 
 Defined results: a text without words (null, empty) is a class by itself; fewer than five words make one shingle; rows
 with a null id have a null class; rows that repeat an id are one document; an empty table gives an empty table; extra
@@ -23,7 +25,7 @@ the links, named by their least id, found in tables.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,8 +43,8 @@ SHORT, SHORT_SKETCHES = 3, 96
 HUBS = 3
 #: Members of a block, when all pairs of a bucket are compared; no pair depends on it.
 HOT = 2048
-#: Members of a bucket from which on its rows carry exact profiles, and sketches too, to compare a pair only once.
-MANY, CROWD = 32, 256
+#: Members of a bucket above which its rows carry words and sketches, to align a pair on the spot and only once.
+MANY = 32
 #: Elements of one numpy operation while a text is sketched or a block compared.
 CHUNK = 1 << 20
 _GAPS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -167,12 +169,11 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
             data = spaced(t)
             h = word_hashes(data)
-            exact = profile(h)
             digest = xxhash.xxh3_128_digest(b" ".join(data.split())) if len(h) else None
-            yield i, len(h), digest, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], exact, outline(exact)
+            yield i, len(h), digest, np.r_[sketch(h), sketch(h, SHORT, SHORT_SKETCHES)], outline(profile(h))
 
     for pdf in batches:
-        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "profile", "outline"])
+        yield pd.DataFrame(rows(pdf), columns=["id", "n", "digest", "sketch", "outline"])
     give_back()
 
 
@@ -213,61 +214,69 @@ def candidates(shared: DataFrame, hubs: int = HUBS) -> DataFrame:
     return chosen.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def remaining(shared: DataFrame, members: DataFrame, root: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Every pair (a, b) of a bucket whose ends are of different classes so far and whose profiles allow the similarity.
+def unsettled(shared: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows (id, h, size, root) of those buckets whose members are of different classes so far."""
+    named = shared.select("id", "h", "size").join(root, F.col("id") == F.col("node"), "left").select("id", "h", "size", F.coalesce("root", "id").alias("root"))
+    named = materialise(named)
+    return materialise(named.join(named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h"), "h"))
+
+
+def few_pairs(rows: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Every pair (a, b) of a bucket of at most ``MANY`` members whose ends are of different classes and whose outlines allow the similarity."""
+    dealt = rows.where(F.col("size") <= MANY).join(members.select("id", "n", "outline"), "id").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInPandas(lambda it: _whole(it, ("h",), functools.partial(_few, similarity=similarity)), "a long, b long").distinct()
+
+
+def crowd_links(df: DataFrame, rows: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that join all members of a bucket of more than ``MANY`` members whose texts align; df has (id, text).
 
     No bucket is capped. Members fall into classes of length, of which only equal or adjacent ones can be similar, and a
     bucket of more than ``HOT`` members into blocks by hash; every two blocks of such lengths meet in a group of their own.
     """
-    named = shared.select("id", "h", "size").join(root, F.col("id") == F.col("node"), "left").select("id", "h", "size", F.coalesce("root", "id").alias("root"))
-    named = materialise(named)
-    open_ = named.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h")
-    open_ = named.join(open_, "h")
-    rows = open_.join(members.select("id", "n", "sketch", "profile", "outline"), "id")
-    rows = rows.withColumns({
-        "sketch": F.when(F.col("size") > CROWD, F.col("sketch")), "profile": F.when(F.col("size") > MANY, F.col("profile")).otherwise(F.col("outline")),
-    })
+    rows = rows.where(F.col("size") > MANY)
+    ids = materialise(rows.select("id").distinct())
+    test = maybe_in(df, "id", ids)
+    some = lambda x: x.where(test).join(ids, "id", "left_semi")
+    vecs = some(df.where("id is not null")).dropDuplicates(["id"]).mapInPandas(_vectors, "id long, vec array<int>")
+    rows = rows.join(materialise(vecs.join(some(members.select("id", "sketch")), "id")), "id").withColumn("n", F.size("vec"))
     blocks = F.ceil(F.col("size") / HOT).cast("int")
     by_length = (blocks > 8) & F.lit(similarity < 1)  # else three times the rows would not pay
     parts = F.when(by_length, F.ceil(blocks / 2).cast("int")).otherwise(blocks)
-    length = F.when(by_length, F.floor(F.log("n") / -np.log(min(similarity, 0.99)) + 1e-9)).otherwise(F.lit(0)).cast("int")
+    length = F.when(by_length, F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(min(similarity, 0.99)) + 1e-9)).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("x", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("c", length)
     every = F.sequence(F.lit(0), parts - 1)
     same = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.least("x", y).alias("s"), F.greatest("x", y).alias("t"), (F.col("x") > y).alias("upper"), F.lit(False).alias("across")))
     below = F.transform(every, lambda y: F.struct((F.col("c") - 1).alias("g"), y.alias("s"), F.col("x").alias("t"), F.lit(True).alias("upper"), F.lit(True).alias("across")))
     above = F.transform(every, lambda y: F.struct(F.col("c").alias("g"), F.col("x").alias("s"), y.alias("t"), F.lit(False).alias("upper"), F.lit(True).alias("across")))
     meets = F.when(by_length, F.concat(same, below, above)).otherwise(same)
-    rows = rows.withColumn("m", F.explode(meets)).select("h", "m.*", "id", "n", "root", "size", "sketch", "profile")
-    key = ("h", "g", "s", "t", "across")
-    dealt = rows.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInPandas(lambda it: _crossed(it, similarity), "a long, b long").distinct()
+    rows = rows.withColumn("m", F.explode(meets)).select("h", "m.*", "id", "root", "sketch", "vec")
+    dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInPandas(lambda it: _whole(it, _GROUP, functools.partial(_crowd, similarity=similarity)), "a long, b long").distinct()
 
 
 _GROUP = ("h", "g", "s", "t", "across")
 
 
-def _crossed(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Pairs within each (h, g, s, t, across), of two blocks; a group may go on in the next batch."""
+def _whole(batches: Iterator[pd.DataFrame], names: tuple[str, ...], found: Callable[[pd.DataFrame, np.ndarray], list[tuple]]) -> Iterator[pd.DataFrame]:
+    """What is found in whole groups of rows, which are in order of their names; a group may go on in the next batch."""
     held: list[pd.DataFrame] = []
-    scratch = np.zeros(1 << 16, dtype=bool)
     for pdf in batches:
         if not len(pdf):
             continue
-        key = pdf[list(_GROUP)].to_numpy(dtype=np.int64)
+        key = pdf[list(names)].to_numpy(dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        found: list[tuple] = []
-        if held and (held[-1][list(_GROUP)].to_numpy(dtype=np.int64)[-1] != key[0]).any():
-            found += _groups(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64), similarity, scratch)
+        pairs: list[tuple] = []
+        if held and (held[-1][list(names)].to_numpy(dtype=np.int64)[-1] != key[0]).any():
+            pairs += found(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64))
             held = []
         if len(starts) > 1:  # the last group waits
             whole = pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
-            starts_ = np.r_[0, starts[1:-1] + sum(map(len, held))]
-            found += _groups(whole, starts_, similarity, scratch)
+            pairs += found(whole, np.r_[0, starts[1:-1] + sum(map(len, held))])
             held = []
         held.append(pdf.iloc[starts[-1] :])
-        yield _frame(found)
+        yield _frame(pairs)
     if held:
-        yield _frame(_groups(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64), similarity, scratch))
+        yield _frame(found(pd.concat(held, ignore_index=True), np.zeros(1, dtype=np.int64)))
     give_back()
 
 
@@ -276,20 +285,32 @@ def _frame(found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def _groups(rows: pd.DataFrame, starts: np.ndarray, similarity: float, scratch: np.ndarray) -> list[tuple]:
-    """Pairs (arrays of ids) of the groups of rows that begin at starts."""
-    h, n, ids, root, upper, across, s, t, size = (rows[c].to_numpy() for c in ("h", "n", "id", "root", "upper", "across", "s", "t", "size"))
-    profiles, sketches, found = rows["profile"].to_numpy(), rows["sketch"].to_numpy(), []
-    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+def _spans(starts: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The groups of rows that begin at starts, but for those of one class."""
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(root)], strict=True):
         if (root[at:end] != root[at]).any():
-            o = at + np.argsort(n[at:end], kind="stable")
-            if size[at] <= MANY:
-                found += _few_pairs(n[o].tolist(), ids[o].tolist(), root[o].tolist(), profiles[o].tolist(), similarity)
-                continue
-            side = None if s[at] == t[at] and not across[at] else upper[o]
-            own = [np.frombuffer(p, dtype=np.uint16) for p in profiles[o]]
-            sk = np.stack(sketches[o]) if size[at] > CROWD else None
-            found += _pairs(n[o].astype(np.int64), ids[o], root[o], side, own, sk, h[at], similarity, scratch)
+            yield at, end
+
+
+def _few(rows: pd.DataFrame, starts: np.ndarray, similarity: float) -> list[tuple]:
+    """Pairs (arrays of ids) of the small buckets that begin at starts."""
+    n, ids, root, outlines = (rows[c].to_numpy() for c in ("n", "id", "root", "outline"))
+    found = []
+    for at, end in _spans(starts, root):
+        o = at + np.argsort(n[at:end], kind="stable")
+        found += _few_pairs(n[o].tolist(), ids[o].tolist(), root[o].tolist(), outlines[o].tolist(), similarity)
+    return found
+
+
+def _crowd(rows: pd.DataFrame, starts: np.ndarray, similarity: float) -> list[tuple]:
+    """Links (arrays of ids) of the groups of rows that begin at starts."""
+    h, ids, root, upper, across, s, t, sketches, vecs = (rows[c].to_numpy() for c in ("h", "id", "root", "upper", "across", "s", "t", "sketch", "vec"))
+    n = np.fromiter(map(len, vecs), dtype=np.int64, count=len(vecs))
+    found = []
+    for at, end in _spans(starts, root):
+        o = at + np.argsort(n[at:end], kind="stable")
+        side = None if s[at] == t[at] and not across[at] else upper[o]
+        found += _links(n[o], ids[o], root[o], side, vecs[o], np.stack(sketches[o]), h[at], similarity)
     return found
 
 
@@ -307,12 +328,14 @@ def _few_pairs(n: list, ids: list, root: list, outlines: list, similarity: float
     return [(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))] if left else []
 
 
-def _pairs(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray | None, own: list, sk: np.ndarray | None, h: int, similarity: float, scratch: np.ndarray) -> list[tuple]:
-    """Pairs of one block (side is None) or of a lower with an upper one; texts in order of their length.
+def _links(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray | None, vecs: np.ndarray, sk: np.ndarray, h: int, similarity: float) -> list[tuple]:
+    """Links of one block (side is None) or of a lower with an upper one; texts in order of their length.
 
-    With sketches, a pair counts in the first of the buckets that it shares only.
+    A pair counts in the first of the buckets that it shares only, and not where links found here join it already.
     """
-    found = []
+    left, right, label = [], [], root.copy()
+    own = [np.frombuffer(profile(v.view(np.uint32).astype(np.uint64)), dtype=np.uint16) for v in vecs]
+    scratch = np.zeros(1 << 16, dtype=bool)
     most = np.floor(n * (1 - similarity) + 1e-9).astype(np.int64)
     reach = np.searchsorted(n - most, n, side="right")  # texts of i + 1 .. reach[i] are short enough for i
     level = np.minimum(np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64) + 2, 16)  # 4 to 8 bits a word
@@ -322,10 +345,10 @@ def _pairs(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray |
         total = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         for i in range(lo, hi):
             j = np.arange(i + 1, reach[i])
-            j = j[root[j] != root[i]]
+            j = j[label[j] != label[i]]
             if side is not None:
                 j = j[side[j] != side[i]]
-            if sk is not None and len(j):
+            if len(j):
                 first = [(sk[k] == sk[i]).argmax(axis=1) for k in np.array_split(j, 1 + len(j) * sk.shape[1] // CHUNK)]
                 j = j[sk[i][np.concatenate(first)] == h]
             if len(j):
@@ -335,9 +358,12 @@ def _pairs(n: np.ndarray, ids: np.ndarray, root: np.ndarray, side: np.ndarray |
                 scratch[own[i]] = True
                 j = j[[n[k] - np.count_nonzero(scratch[own[k]]) <= most[k] for k in j.tolist()]]
                 scratch[own[i]] = False
-            if len(j):
-                found.append((np.full(len(j), ids[i]), ids[j]))
-    return found
+            for k in j.tolist():
+                if label[k] != label[i] and banded_distance(vecs[k], vecs[i], int(most[k])) <= most[k]:
+                    left.append(ids[i])
+                    right.append(ids[k])
+                    label[label == label[k]] = label[i]
+    return [(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))] if left else []
 
 
 def _bits(own: np.ndarray, v: int) -> np.ndarray:
@@ -363,7 +389,7 @@ def possible(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFra
 
 def verified(df: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose texts align; df has (id, text)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     some = may_hold(df.where("id is not null"), "id", ends).join(ends, "id", "left_semi")
     vecs = materialise(some.dropDuplicates(["id"]).mapInPandas(_vectors, "id long, vec array<int>"))
     both = pairs.join(vecs.toDF("a", "va"), "a").join(vecs.toDF("b", "vb"), "b")
@@ -375,17 +401,19 @@ def links(df: DataFrame, members: DataFrame, similarity: float = SIMILARITY) ->
     shared = materialise(buckets(members))
     first = materialise(possible(materialise(candidates(shared)), members, similarity))
     root = components(verified(df, first, similarity).toDF("u", "v"))
-    rest = materialise(remaining(shared, members, root, similarity).join(first, ["a", "b"], "left_anti"))
-    return root.toDF("u", "v").unionByName(verified(df, rest, similarity).toDF("u", "v"))
+    rows = unsettled(shared, root)
+    rest = materialise(few_pairs(rows, members, similarity).join(first, ["a", "b"], "left_anti"))
+    crowds = materialise(crowd_links(df, rows, members, similarity))
+    return root.toDF("u", "v").unionByName(verified(df, rest, similarity).toDF("u", "v")).unionByName(crowds.toDF("u", "v"))
 
 
 def once(known: DataFrame, copies: DataFrame, again: DataFrame) -> DataFrame:
-    """(id, n, sketch, profile, outline) of known without ids of copies, and one row for each id of again (of its least digest).
+    """(id, n, sketch, outline) of known without ids of copies, and one row for each id of again (of its least digest).
 
     Few rows are shuffled: a filter of ids tells which can be concerned.
     """
     test = maybe_in(known, "id", materialise(copies.unionByName(again).distinct()))
-    names = ("n", "sketch", "profile", "outline")
+    names = ("n", "sketch", "outline")
     some = known.where(test).join(copies, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*names), "digest").alias("x")).select("id", "x.*")
     return known.where(~test).select("id", *names).unionByName(some)
 
@@ -395,7 +423,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     ship(df.sparkSession)
     scratch = Scratch(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    wide = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, profile binary, outline binary"))
+    wide = materialise(df.mapInPandas(_sketches, "id long, n int, digest binary, sketch array<long>, outline binary"))
     rows = materialise(wide.select("id", "digest"))
     known = rows.where("id is not null and digest is not null")
     texts = materialise(known.groupBy("digest").agg(F.min("id").alias("id")))

@@ -384,6 +384,28 @@ def test_one_shared_sketch_in_a_hot_bucket(spark, monkeypatch):
     assert len({got[i] for i in range(60)}) == 60
 
 
+def test_rows_of_a_crowded_bucket_are_linear(spark, monkeypatch):
+    """Texts of one passage and the same words in other orders, which no bound tells apart: none is linked, but copies are, and pairs are not written."""
+    written, write = [], order_minhash.materialise
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["a", "b"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "materialise", counted)
+    monkeypatch.setattr(order_minhash, "MANY", 8)
+    r = random.Random(14)
+    passage, words, texts = [f"p{i}" for i in range(60)], [f"w{i}" for i in range(40)], {}
+    for i in range(0, 240, 2):
+        base = passage + r.sample(words, len(words))
+        texts |= {i: " ".join(base), i + 1: " ".join(_changed(r, base, 0.1, 60))} if i % 20 == 0 else {i: " ".join(base)}
+    got = {x["doc_id"]: x["class_id"] for x in order_minhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+    assert max(written) <= order_minhash.HUBS * len(texts), written
+
+
 @pytest.mark.parametrize("spread", ["random", "even"])
 def test_near_recall_by_band(spark, spread):
     """Lone pairs at each similarity down to 0.8, short and long: at most one in twenty of a band is lost."""
